@@ -1,94 +1,69 @@
-"""Column functions over addresses.  Both address families are decided inside codegen."""
+"""Column functions over addresses.
 
-from __future__ import annotations
+Both families are decided by patterns inside generated code; no row leaves the JVM.
+"""
 
-import ipaddress
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Special-purpose ranges that are not public (fixed values, as Python's ipaddress reads them).
-NON_PUBLIC_V4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
-    "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-)
-PUBLIC_V4_EXCEPTIONS = ("192.0.0.9/32", "192.0.0.10/32")
-
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-_H = r"[0-9a-f]{1,4}"
-_V6_FULL = rf"^(?:{_H}:){{6}}(?:{_H}:{_H}|{IPV4})$"
-_V6_COMPRESSED = rf"^(?:{_H}(?::{_H})*)?::(?:(?:{_H}:)*(?:{_H}|{IPV4}))?$"
-
-
-def _is_v6(text: Column) -> Column:
-    """RFC 4291 text: eight groups, or one ``::`` with at most seven groups beside it."""
-    numbers = F.size(F.regexp_extract_all(text, F.lit("([0-9a-f]+)"), 1))
-    groups = F.when(text.contains("."), numbers - 2).otherwise(numbers)
-    return text.rlike(_V6_FULL) | (text.rlike(_V6_COMPRESSED) & (groups <= 7))
-
-
-def _v4_value(text: Column) -> Column:
-    parts = F.split(text, r"\.")
-    octet = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    return octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-
 
-def _public_v4_value(value: Column) -> Column:
-    def within(networks):
-        hit = F.lit(False)
-        for text in networks:
-            net = ipaddress.ip_network(text)
-            hit = hit | value.between(int(net.network_address), int(net.broadcast_address))
-        return hit
+# Ranges that are not public (fixed values, as Python's ipaddress reads the registries):
+# 0/8, 10/8, 127/8, 169.254/16, 172.16/12, 192.0.0/24 without .9 and .10, 192.0.2/24,
+# 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 224/4 and 240/4.
+NON_PUBLIC_V4 = (
+    r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\."
+    r"|192\.0\.0\.(?!(?:9|10)$)|192\.0\.2\.|192\.168\.|198\.1[89]\.|198\.51\.100\."
+    r"|203\.0\.113\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
+)
 
-    return ~within(NON_PUBLIC_V4) | within(PUBLIC_V4_EXCEPTIONS)
+_H = r"[0-9a-f]{1,4}"
+# RFC 4291 text: eight groups, or one "::" beside at most seven; a dotted tail counts as two.
+IPV6 = (
+    rf"^(?:(?:{_H}:){{6}}(?:{_H}:{_H}|{IPV4})"
+    rf"|(?!(?:\W*\b\w+\b){{8}})(?:{_H}(?::{_H})*)?::(?:(?:{_H}:)*{_H})?"
+    rf"|(?!(?:\W*\b\w+\b){{10}})(?:{_H}(?::{_H})*)?::(?:{_H}:)*{IPV4})$"
+)
+# Inside global unicast 2000::/3: 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20 are
+# special; 2001:1::1, 2001:1::2, 2001:3::/32, 2001:4:112::/48, 2001:20::/28 and 2001:30::/28
+# are public again (fixed values).
+GLOBAL_V6 = r"^[23][0-9a-f]{3}:"
+SPECIAL_V6 = (
+    r"^(?:2001:(?::|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:|0?db8:)|2002:"
+    r"|3fff:(?::|[0-9a-f]{1,3}:|0[0-9a-f]{3}:))"
+)
+PUBLIC_AGAIN_V6 = (
+    r"^2001:(?:0{0,3}1::0{0,3}[12]$|0{0,3}3:|0{0,3}4:0?112:|0{0,2}[23][0-9a-f]:)"
+)
+_MAPPED = r"^(?:::|(?:0{1,4}:){5})ffff:"
+_MAPPED_HEX = _MAPPED + r"([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
 
 
-def _public_v6(text: Column) -> Column:
-    """Global unicast (2000::/3) minus the special-purpose blocks inside it."""
-    hextet = lambda pattern: F.conv(
-        F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.lit("0")), 16, 10
-    ).cast("long")
-    h1, h2 = hextet(r"^([0-9a-f]+):"), hextet(r"^[0-9a-f]+:([0-9a-f]+)")
-    ietf = (h1 == 0x2001) & (h2 < 0x200)
-    ietf_public = (
-        text.isin("2001:1::1", "2001:1::2")
-        | (h2 == 0x3)
-        | text.rlike(r"^2001:0{0,3}4:0?112:")
-        | h2.between(0x20, 0x3F)
-    )
-    special = (
-        (ietf & ~ietf_public)
-        | ((h1 == 0x2001) & (h2 == 0xDB8))
-        | (h1 == 0x2002)
-        | ((h1 == 0x3FFF) & (h2 < 0x1000))
-    )
-    mapped = F.regexp_extract(text, rf"^(?:::|(?:0{{1,4}}:){{5}})ffff:({IPV4})$", 1)
-    mapped_hex = r"^(?:::|(?:0{1,4}:){5})ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
-    high, low = (
-        F.conv(F.nullif(F.regexp_extract(text, mapped_hex, g), F.lit("")), 16, 10).cast("long")
-        for g in (1, 2)
+def _dotted(text: Column) -> Column:
+    """A mapped address as its dotted quad, any other text unchanged."""
+    number = lambda g: F.conv(F.regexp_extract(text, _MAPPED_HEX, g), 16, 10).cast("int")
+    high, low = number(1), number(2)
+    quad = F.concat_ws(
+        ".", *[F.floor(h / d).cast("int").cast("string") if d > 1 else (h % 256).cast("string")
+               for h, d in ((high, 256), (high, 1), (low, 256), (low, 1))]
     )
-    return (
-        F.when(mapped != "", _public_v4_value(_v4_value(mapped)))
-        .when(high.isNotNull(), _public_v4_value(high * 65536 + low))
-        .otherwise(h1.between(0x2000, 0x3FFF) & ~special)
+    return F.when(text.rlike(_MAPPED_HEX), quad).otherwise(
+        F.regexp_replace(text, _MAPPED + rf"(?={IPV4}$)", "")
     )
 
 
 def is_public_ip(address: Column) -> Column:
     """True for a routable public address; false for private, special or invalid text."""
-    text = F.lower(F.trim(F.coalesce(address, F.lit(""))))
-    v6 = F.regexp_replace(text, "%.+$", "")
-    public = (
-        F.when(text.rlike(f"^{IPV4}$"), _public_v4_value(_v4_value(text)))
-        .when(text.contains(":") & _is_v6(v6), _public_v6(v6))
-        .otherwise(F.lit(False))
+    plain = F.lower(F.trim(F.coalesce(address, F.lit(""))))
+    scopeless = F.regexp_replace(plain, "%.+$", "")
+    v4 = lambda t: t.rlike(f"^{IPV4}$") & ~t.rlike(NON_PUBLIC_V4)
+    v6 = (
+        scopeless.rlike(IPV6)
+        & F.when(scopeless.rlike(_MAPPED), v4(_dotted(scopeless))).otherwise(
+            scopeless.rlike(GLOBAL_V6)
+            & (~scopeless.rlike(SPECIAL_V6) | scopeless.rlike(PUBLIC_AGAIN_V6)))
     )
-    return F.coalesce(public, F.lit(False))
-
-
-def with_public_ip(df: DataFrame, column: str, out: str = "is_public") -> DataFrame:
-    return df.withColumn(out, is_public_ip(F.col(column)))
+    return F.when(plain.contains(":"), v6).otherwise(v4(plain))

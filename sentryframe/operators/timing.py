@@ -12,10 +12,8 @@ from .buckets import BUCKET, US, own_bucket
 
 # Gaps are measured inside day buckets; the few gaps across buckets are stitched after.
 GAP_BUCKET = timedelta(days=1)
-# Values one group may hand to the built-in exact median; larger groups are narrowed first.
-MEDIAN_LIMIT = 100_000
-# Rank error of the sketch that narrows a large group: one part in this many.
-SKETCH_ACCURACY = 10_000
+# Bins per unit of natural logarithm: neighbouring bins differ by 0.4 %.
+BINS_PER_LOG = 256
 
 
 def inter_arrival(
@@ -40,43 +38,42 @@ def inter_arrival(
     return inside.unionByName(across)
 
 
-def exact_median(
-    values: DataFrame, keys: list[str], value: str, out: str, limit: int = MEDIAN_LIMIT
-) -> DataFrame:
-    """``keys, out``: the exact median per group (mean of the middle two when even).
+def exact_median(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """``keys, out``: the exact median of non-negative values per group.
 
-    Groups up to ``limit`` rows use the built-in median.  A larger group is narrowed first:
-    a mergeable quantile sketch brackets the middle, one pass counts what lies below the
-    bracket, and only the bracket (about ``n / 2500`` values) is ranked.
+    The mean of the middle two when even.  Values are counted, then binned on a logarithmic
+    scale; the bins a group can have are bounded (about 11,000 for 64-bit values), so ranking
+    them in one task is safe, and only the one or two bins that hold the middle ranks are
+    ranked value by value.  A group of any size is therefore spread over its values.
     """
-    rows = values.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    eps = 2.0 / SKETCH_ACCURACY
-    bracket = F.percentile_approx("_v", F.array(F.lit(0.5 - eps), F.lit(0.5 + eps)), SKETCH_ACCURACY)
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.join(size, keys)
-    small = (
-        sized.where(F.col("_n") <= limit).groupBy(*keys)
-        .agg(F.median("_v").cast("double").alias(out))
+    counts = (
+        values.select(*keys, F.col(value).cast("double").alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .groupBy(*keys, F.floor(F.ln(F.col("_v") + 1) * BINS_PER_LOG).alias("_bin"), "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    large = sized.where(F.col("_n") > limit)
-    bounds = large.groupBy(*keys).agg(bracket.alias("_b"))
-    framed = large.join(bounds, keys)
-    lo, hi = F.get("_b", F.lit(0)), F.get("_b", F.lit(1))
-    below = framed.groupBy(*keys).agg(F.count_if(F.col("_v") < lo).alias("_below"))
-    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (
-        framed.where(F.col("_v").between(lo, hi))
-        .groupBy(*keys, "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .join(below, keys)
-        .withColumn("_upto", F.col("_below") + F.sum("_c").over(order))
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = (
+        counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_size"))
+        .withColumn("_n", F.sum("_size").over(Window.partitionBy(*keys)))
+        .withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
     )
     left, right = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    inside = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size"))
+    middle = bins.where(inside(left) | inside(right)).select(*keys, "_bin", "_n", "_before")
+    within = (
+        Window.partitionBy(*keys, "_bin").orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ranked = (
+        counts.join(middle, [*keys, "_bin"])
+        .withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
+        .withColumn("_from", F.col("_upto") - F.col("_c"))
+    )
     holds = lambda rank: F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v"))
-    ranked = middle.groupBy(*keys).agg(
-        ((F.max(holds(left)) + F.max(holds(right))) / 2).cast("double").alias(out)
+    return ranked.groupBy(*keys).agg(
+        ((F.max(holds(left)) + F.max(holds(right))) / 2).alias(out)
     )
-    return small.unionByName(ranked)
 
 
 # Regularity (fixed values).
@@ -85,9 +82,7 @@ MIN_MEANINGFUL_INTERVAL_SECONDS = 5.0
 MIN_INTERVALS = 3
 
 
-def connection_patterns(
-    events: DataFrame, keys: list[str], ts: str, median_limit: int = MEDIAN_LIMIT
-) -> DataFrame:
+def connection_patterns(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Timing of every relationship named by ``keys``.
 
     Count, span, and the robust shape of the gaps: median, median absolute deviation and
@@ -99,26 +94,23 @@ def connection_patterns(
     )
     gaps = inter_arrival(events, keys, ts)
     bounds = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_gaps"),
-        (F.min("gap_us") / 1e6).alias("min_interval"), (F.max("gap_us") / 1e6).alias("max_interval"),
-    )
-    measurable = gaps.join(
-        bounds.where(F.col("_gaps") >= MIN_INTERVALS).select(*keys), keys, "left_semi"
+        (F.min("gap_us") / 1e6).alias("min_interval"), (F.max("gap_us") / 1e6).alias("max_interval")
     )
-    medians = exact_median(measurable, keys, "gap_us", "_median", median_limit)
-    spread = measurable.join(medians, keys).select(
+    medians = exact_median(gaps, keys, "gap_us", "_median")
+    spread = gaps.join(medians, keys).select(
         *keys, F.abs(F.col("gap_us") - F.col("_median")).alias("_dev")
     )
-    mads = exact_median(spread, keys, "_dev", "_mad", median_limit)
+    mads = exact_median(spread, keys, "_dev", "_mad")
     out = counted.join(bounds, keys, "left").join(medians, keys, "left").join(mads, keys, "left")
     n_gaps = F.col("connection_count") - 1
     out = out.select(
         *keys, "connection_count", "first_seen", "last_seen",
         ((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1e6).alias("span_seconds"),
         n_gaps.alias("interarrival_count"),
-        (F.col("_median") / 1e6).alias("median_interval"),
-        (F.col("_mad") / 1e6).alias("interval_mad"),
-        F.when(F.col("_median") > 0, F.col("_mad") / F.col("_median")).alias("robust_cv"),
+        F.when(n_gaps >= MIN_INTERVALS, F.col("_median") / 1e6).alias("median_interval"),
+        F.when(n_gaps >= MIN_INTERVALS, F.col("_mad") / 1e6).alias("interval_mad"),
+        F.when((n_gaps >= MIN_INTERVALS) & (F.col("_median") > 0), F.col("_mad") / F.col("_median"))
+        .alias("robust_cv"),
         "min_interval", "max_interval",
     )
     return out.withColumn("is_regular", is_regular())
