@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("hunting",)
+MODULES = ("hunting", "measuring")
 
 
 def load_catalogue():

@@ -27,43 +27,21 @@ IPV6 = (
     rf"|(?!(?:\W*\b\w+\b){{8}})(?:{_H}(?::{_H})*)?::(?:(?:{_H}:)*{_H})?"
     rf"|(?!(?:\W*\b\w+\b){{10}})(?:{_H}(?::{_H})*)?::(?:{_H}:)*{IPV4})$"
 )
-# Inside global unicast 2000::/3: 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20 are
-# special; 2001:1::1, 2001:1::2, 2001:3::/32, 2001:4:112::/48, 2001:20::/28 and 2001:30::/28
-# are public again (fixed values).
-GLOBAL_V6 = r"^[23][0-9a-f]{3}:"
-SPECIAL_V6 = (
-    r"^(?:2001:(?::|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:|0?db8:)|2002:"
-    r"|3fff:(?::|[0-9a-f]{1,3}:|0[0-9a-f]{3}:))"
-)
+# Only 2000::/3 and the former site-local fec0::/10 can be public.  Inside the first 2001::/23, 2001:db8::/32 and
+# 2002::/16 are special; 2001:1::1, 2001:1::2, 2001:3::/32, 2001:4:112::/48, 2001:20::/28 and
+# 2001:30::/28 are public again (fixed values).  Mapped IPv4 lies outside and is not public.
+GLOBAL_V6 = r"^(?:[23][0-9a-f]{3}|fe[c-f][0-9a-f]):"
+SPECIAL_V6 = r"^(?:2001:(?::|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:|0?db8:)|2002:)"
 PUBLIC_AGAIN_V6 = (
     r"^2001:(?:0{0,3}1::0{0,3}[12]$|0{0,3}3:|0{0,3}4:0?112:|0{0,2}[23][0-9a-f]:)"
 )
-_MAPPED = r"^(?:::|(?:0{1,4}:){5})ffff:"
-_MAPPED_HEX = _MAPPED + r"([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
-
-
-def _dotted(text: Column) -> Column:
-    """A mapped address as its dotted quad, any other text unchanged."""
-    number = lambda g: F.conv(F.regexp_extract(text, _MAPPED_HEX, g), 16, 10).cast("int")
-    high, low = number(1), number(2)
-    quad = F.concat_ws(
-        ".", *[F.floor(h / d).cast("int").cast("string") if d > 1 else (h % 256).cast("string")
-               for h, d in ((high, 256), (high, 1), (low, 256), (low, 1))]
-    )
-    return F.when(text.rlike(_MAPPED_HEX), quad).otherwise(
-        F.regexp_replace(text, _MAPPED + rf"(?={IPV4}$)", "")
-    )
 
 
 def is_public_ip(address: Column) -> Column:
     """True for a routable public address; false for private, special or invalid text."""
     plain = F.lower(F.trim(F.coalesce(address, F.lit(""))))
-    scopeless = F.regexp_replace(plain, "%.+$", "")
-    v4 = lambda t: t.rlike(f"^{IPV4}$") & ~t.rlike(NON_PUBLIC_V4)
-    v6 = (
-        scopeless.rlike(IPV6)
-        & F.when(scopeless.rlike(_MAPPED), v4(_dotted(scopeless))).otherwise(
-            scopeless.rlike(GLOBAL_V6)
-            & (~scopeless.rlike(SPECIAL_V6) | scopeless.rlike(PUBLIC_AGAIN_V6)))
-    )
-    return F.when(plain.contains(":"), v6).otherwise(v4(plain))
+    v6 = F.regexp_replace(plain, "%.+$", "")
+    return F.when(
+        plain.contains(":"),
+        v6.rlike(IPV6) & v6.rlike(GLOBAL_V6) & (~v6.rlike(SPECIAL_V6) | v6.rlike(PUBLIC_AGAIN_V6)),
+    ).otherwise(plain.rlike(f"^{IPV4}$") & ~plain.rlike(NON_PUBLIC_V4))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..schemas import EVIDENCE_COLUMNS, FINDING_SCHEMA, Telemetry
+from ..schemas import EVIDENCE_COLUMNS, EVIDENCE_CONTEXT, FINDING_SCHEMA, Telemetry
 from ..vocab import PROCESS, SEVERITY_RANK
 from .rules import REGISTRY, HuntConfig, Rule, RuleOutput, rows_as_findings
 
@@ -60,7 +60,8 @@ def run_hunt(
         nothing = spark.createDataFrame([], FINDING_SCHEMA)
         blank = nothing.select(
             "finding_id", "rule_id", F.lit("").alias("event_id"), F.lit("").alias("event_type"),
-            F.col("first_seen").alias("timestamp"), F.lit("").alias("summary"))
+            F.col("first_seen").alias("timestamp"), F.lit("").alias("summary"),
+            *[F.lit(None).cast(kind).alias(name) for name, kind in EVIDENCE_CONTEXT])
         return HuntResult(nothing, blank, run, errors)
     findings = _union([o.findings for o in outputs])
     evidence = _union([o.evidence for o in outputs]).select(*EVIDENCE_COLUMNS)

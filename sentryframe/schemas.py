@@ -93,8 +93,18 @@ def empty_telemetry(spark: SparkSession) -> Telemetry:
 
 
 # One row per cited event.  Evidence is a table of its own, never an array on the finding,
-# so a finding over a very large group stays one narrow row.
-EVIDENCE_COLUMNS = ("finding_id", "rule_id", "event_id", "event_type", "timestamp", "summary")
+# so a finding over a very large group stays one narrow row.  It carries the identities the
+# correlation reads, so linking findings never goes back to the event tables for them.
+EVIDENCE_CONTEXT = (
+    ("device", T.StringType()), ("principal", T.StringType()), ("other_principal", T.StringType()),
+    ("process_id", T.LongType()), ("process_guid", T.StringType()),
+    ("parent_process_id", T.LongType()), ("parent_process_guid", T.StringType()),
+)
+EVIDENCE_COLUMNS = (
+    "finding_id", "rule_id", "event_id", "event_type", "timestamp", "summary",
+    *(name for name, _ in EVIDENCE_CONTEXT),
+)
+
 
 # Typed metadata a finding may carry (null where a rule does not record it).
 _ARR, _ARRL, _INT, _BOOL = T.ArrayType(_STR), T.ArrayType(_LONG), T.IntegerType(), T.BooleanType()
