@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("hunting", "measuring")
+MODULES = ("hunting", "measuring", "evaluating", "ingesting")
 
 
 def load_catalogue():

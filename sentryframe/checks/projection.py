@@ -68,9 +68,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_DIMENSION = (
+    "k long, parent_image string, image string, command string, path string, logon_kind int, verb string, "
+    "resource string, net_image string, port int, address string, rbac_resource string, rbac_role string"
+)
+
+
+def _dimension(spark: SparkSession) -> DataFrame:
+    """Everything that depends on ``k`` alone: a hundred rows, joined rather than inlined."""
+    address = lambda k: ("10.1.2.3", "8.8.8.8", f"45.155.204.{k % 10}", "192.168.0.7", "1.1.1.1")[k % 5]
+    return spark.createDataFrame(
+        [(k, *PROCESS_SHAPES[k % len(PROCESS_SHAPES)], _LOGON_TYPES[k % 5], _VERBS[k % 8], _RESOURCES[k // 8 % 5],
+          _NET_IMAGES[k % 4], _PORTS[k % 3], address(k), ("rolebindings", "clusterrolebindings", "pods/exec")[k % 3],
+          ("cluster-admin", "admin", "view", "edit")[k % 4]) for k in range(100)], _DIMENSION)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn(
+    rows = table(spark, sf_dir, "events").withColumn(
         "k", F.regexp_extract("props", "([0-9]+)", 1).cast("long"))
+    return rows.join(F.broadcast(_dimension(spark)), "k", "left")
 
 
 def _pick(values, index: Column) -> Column:
@@ -105,7 +121,7 @@ def logons(ev: DataFrame) -> DataFrame:
         source_device=_text("H", (F.col("k") % 20).cast("string")),
         action=F.when(F.col("kind") == "error", "failure").otherwise("success"),
         failure_reason=F.when(F.col("kind") == "error", "bad password").otherwise(""),
-        logon_type=_pick(_LOGON_TYPES, F.col("k") % 5))
+        logon_type=F.col("logon_kind"))
 
 
 def controls(ev: DataFrame) -> DataFrame:
@@ -113,8 +129,7 @@ def controls(ev: DataFrame) -> DataFrame:
     return _canonical(
         ev, CONTROL, event_id=_text("c", F.col("event_id").cast("string")),
         source=F.lit("cloudtrail_mgmt"), user=target,
-        actor=_text("u", F.col("user_id").cast("string")), verb=_pick(_VERBS, F.col("k") % 8),
-        resource_type=_pick(_RESOURCES, F.floor(F.col("k") / 8) % 5),
+        actor=_text("u", F.col("user_id").cast("string")), verb=F.col("verb"), resource_type=F.col("resource"),
         resource_name=F.when(F.col("k") % 3 == 0, "").otherwise(
             _text("r", (F.col("k") % 11).cast("string"))),
         target_actor=target, role_ref=_text("policy", (F.col("k") % 7).cast("string")),
@@ -125,14 +140,13 @@ def controls(ev: DataFrame) -> DataFrame:
 
 def rbac_controls(ev: DataFrame) -> DataFrame:
     """The same events as Kubernetes audit rows: bindings and pod execs."""
-    resource = _pick(("rolebindings", "clusterrolebindings", "pods/exec"), F.col("k") % 3)
     return _canonical(
         ev, CONTROL, event_id=_text("b", F.col("event_id").cast("string")),
         source=F.lit("k8s_audit"), actor=_text("u", (F.col("user_id") % 15).cast("string")),
-        verb=F.when(F.col("k") % 3 == 2, "exec").otherwise("create"), resource_type=resource,
+        verb=F.when(F.col("k") % 3 == 2, "exec").otherwise("create"), resource_type=F.col("rbac_resource"),
         resource_name=_text("n", (F.col("k") % 11).cast("string")),
         resource_namespace=F.lit("default"),
-        role_ref=_pick(("cluster-admin", "admin", "view", "edit"), F.col("k") % 4),
+        role_ref=F.col("rbac_role"),
         actor_groups=F.when(F.col("k") % 5 == 0, "system:masters,system:authenticated")
         .otherwise("system:authenticated"),
         target_actor=F.when(F.col("k") % 3 == 2, "").when(F.col("k") % 10 == 0, "system:masters")
@@ -145,23 +159,20 @@ def network(ev: DataFrame) -> DataFrame:
     return _canonical(
         ev.where(F.col("event_type").isin("click", "view")), NETWORK,
         event_id=_text("n", F.col("event_id").cast("string")),
-        process_name=_pick(_NET_IMAGES, k % 4), process_id=F.col("event_id") % 500,
+        process_name=F.col("net_image"), process_id=F.col("event_id") % 500,
         process_guid=F.when(k % 2 == 0, _text("sysmon:p", (F.col("event_id") - 1 - k % 3).cast("string"))).otherwise(""),
-        remote_ip=F.when(k % 5 == 0, "10.1.2.3").when(k % 5 == 1, "8.8.8.8")
-        .when(k % 5 == 2, _text("45.155.204.", (k % 10).cast("string")))
-        .when(k % 5 == 3, "192.168.0.7").otherwise("1.1.1.1"),
-        remote_port=_pick(_PORTS, k % 3), protocol=F.lit("tcp"),
+        remote_ip=F.col("address"), remote_port=F.col("port"), protocol=F.lit("tcp"),
         direction=F.when(k % 10 == 9, "inbound").otherwise("outbound"),
         remote_url=F.when(k % 6 == 0, _text("http://x.test/", k.cast("string"))).otherwise(""))
 
 
 def processes(ev: DataFrame) -> DataFrame:
     k, n = F.col("k"), F.col("event_id")
-    shape = lambda i: _pick([s[i] for s in PROCESS_SHAPES], k % len(PROCESS_SHAPES))
     return _canonical(
         ev.where(F.col("event_type").isin("view", "purchase")), PROCESS,
         event_id=_text("p", n.cast("string")), process_id=n % 500, parent_process_id=(n * 3) % 500,
-        parent_process_name=shape(0), process_name=shape(1), command_line=shape(2), file_path=shape(3),
+        parent_process_name=F.col("parent_image"), process_name=F.col("image"),
+        command_line=F.col("command"), file_path=F.col("path"),
         sha256=_text("h", (k % 13).cast("string")),
         signer=F.when(k % 10 == 0, "").otherwise("Vendor"),
         signature_status=F.when(k % 10 == 0, "unsigned").otherwise("valid"),

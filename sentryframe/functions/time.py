@@ -7,13 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_8601 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,9})?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
-# Looser forms a lenient reader also accepts, most specific first (fixed values).
-LENIENT_PATTERNS = (
-    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy h:mm:ss a", "MM/dd/yyyy",
-)
+# The one looser form that is not a reordering of year, month and day.
+TWELVE_HOUR = "MM/dd/yyyy h:mm:ss a"
 
 
 def micros(span: timedelta | int) -> int:
@@ -26,16 +21,15 @@ def micros(span: timedelta | int) -> int:
 def parse_event_time(c: Column) -> Column:
     """RFC-3339 text to a timestamp, else a lenient reading, else null.
 
-    Spark keeps microseconds: fraction digits beyond the sixth are dropped.
+    Lenient readings: a space for ``T``, lower case, a date alone, slashes with the year first
+    or last, a twelve-hour clock.  Spark keeps microseconds: fraction digits beyond the sixth
+    are dropped.
     """
-    text = F.trim(c)
-    cut = F.regexp_replace(text, r"(\.[0-9]{6})[0-9]+", "$1")
-    exact = F.when(text.rlike(ISO_8601), cut.try_cast("timestamp"))
-    zoned = F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.upper(cut).try_cast("timestamp")
-    )
-    loose = [F.try_to_timestamp(cut, F.lit(p)) for p in LENIENT_PATTERNS]
-    return F.coalesce(exact, zoned, *loose)
+    cut = F.regexp_replace(F.upper(F.trim(c)), r"(\.[0-9]{6})[0-9]+", "$1")
+    dashed = F.regexp_replace(cut, r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3")
+    ordered = F.regexp_replace(dashed, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$1-$2")
+    read = F.when(ordered.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), ordered.try_cast("timestamp"))
+    return F.coalesce(read, F.try_to_timestamp(c, F.lit(TWELVE_HOUR)))
 
 
 def between_seconds(start: Column, end: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,11 @@ def read_canonical_parquet(spark: SparkSession, path: str) -> tuple[Telemetry, d
         if not _exists(spark, target):
             tables[name] = empty_table(spark, name)
             continue
-        raw = spark.read.parquet(target)
+        try:
+            raw = spark.read.parquet(target)
+        except AnalysisException:  # a table written without a single row has no schema
+            tables[name] = empty_table(spark, name)
+            continue
         added[name] = [c for c in TABLE_COLUMNS[name] if c not in raw.columns]
         tables[name] = coerce(raw, name)
     return Telemetry(*(tables[n] for n in EVENT_TYPES)), {k: v for k, v in added.items() if v}
