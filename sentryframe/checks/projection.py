@@ -107,8 +107,8 @@ def _canonical(df: DataFrame, event_type: str, **columns: Column) -> DataFrame:
     }
     chosen = {**base, **columns}
     return df.withColumn("kind", F.col("event_type")).select(*[
-        F.coalesce(chosen.get(f.name, F.lit("")), F.lit("")).alias(f.name)
-        if f.dataType.typeName() == "string" else chosen[f.name].cast(f.dataType).alias(f.name)
+        chosen[f.name].cast(f.dataType).alias(f.name) if f.name in chosen
+        else F.expr(f"CAST('' AS {f.dataType.simpleString()}) AS `{f.name}`")
         for f in TABLE_SCHEMAS[event_type].fields
     ])
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import micros
+from .lineage_cut import cut
 from .buckets import BUCKET, OWN, US, WINDOWS_PER_BUCKET, bucket_of, own_bucket, with_halo
 
 # Qualifying instants one key may fold in a single task; beyond it the key is bucketed.
@@ -177,16 +178,23 @@ def episode_starts(
 ) -> DataFrame:
     """One row per episode: keys, ``start_us`` and ``bound_us`` (start plus window).
 
-    Key columns must not be null (canonical strings never are).
+    Key columns must not be null (canonical strings never are).  The qualifying instants are
+    written once to the checkpoint folder: they are few next to the events, every later step
+    reads them, and whether any key needs the bucketed path is decided from them.
     """
     span = micros(window)
-    starts = qualifying_starts(events, keys, ts, min_events, window)
-    sized = starts.join(
-        starts.groupBy(*keys).agg((F.count(F.lit(1)) > fold_limit).alias("_hot")), keys
+    starts = cut(qualifying_starts(events, keys, ts, min_events, window))
+    hot = (
+        starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > fold_limit).select(*keys)
     )
-    cold = _fold_runs(sized.where(~F.col("_hot")).select(*keys, START), keys, span)
-    hot = _chain_hot(sized.where("_hot").select(*keys, START), keys, span)
-    return cold.unionByName(hot).withColumn(END_BOUND, F.col(START) + F.lit(span))
+    if not hot.limit(1).collect():
+        picked = _fold_runs(starts, keys, span)
+    else:
+        picked = _fold_runs(starts.join(hot, keys, "left_anti"), keys, span).unionByName(
+            _chain_hot(starts.join(hot, keys, "left_semi"), keys, span)
+        )
+    return picked.withColumn(END_BOUND, F.col(START) + F.lit(span))
 
 
 def episode_events(

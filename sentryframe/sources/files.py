@@ -104,6 +104,18 @@ def _text_lines(texts: DataFrame) -> DataFrame:
         F.trim("line").alias("line")).where(F.col("line") != "")
 
 
+def with_parsed(lines: DataFrame, column: str, schema: str, shape: str = "one JSON record per line") -> DataFrame:
+    """The fields of one JSON record beside its text, and ``shape`` (null when it did not parse).
+
+    The record goes through a generator, which the optimizer does not inline: each line is
+    parsed once however many columns are read from it.
+    """
+    ok = F.when(F.try_parse_json(column).isNotNull(), shape).alias("shape")
+    keep = [c for c in lines.columns if c != "shape"]
+    kind = F.col("shape") if "shape" in lines.columns else ok
+    return lines.select(*keep, kind, F.inline(F.array(F.from_json(column, schema))))
+
+
 def is_json(line: Column) -> Column:
     return F.try_parse_json(line).isNotNull()
 

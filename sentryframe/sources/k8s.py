@@ -11,7 +11,7 @@ from ..functions.control import classify_decision
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, FAILED, LOGON, NETWORK, PROCESS, RBAC_BINDING_RESOURCES
-from .files import Ingest, admit, issue_rows, keep_admitted, read_lines
+from .files import Ingest, admit, issue_rows, keep_admitted, read_lines, with_parsed
 from .normalise import coerce, mint_event_id, quarantine
 
 FINAL_STAGE = "ResponseComplete"
@@ -54,7 +54,7 @@ def raw_events(lines: DataFrame) -> DataFrame:
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("r", F.from_json("record", EVENT)).select("file", "block", "seq", "shape", "record", "r.*")
+    return with_parsed(raw, "record", EVENT)
 
 
 def looks_like_audit() -> Column:

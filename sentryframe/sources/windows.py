@@ -11,7 +11,7 @@ from ..functions.identity import start_identity, sysmon_identity
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, LOGON, NETWORK, PROCESS
-from .files import Ingest, admit, issue_rows, keep_admitted, read_deflated_lines, read_lines
+from .files import Ingest, admit, issue_rows, keep_admitted, read_deflated_lines, read_lines, with_parsed
 from .normalise import coerce, mint_event_id, quarantine
 
 SYSMON_CHANNEL, SECURITY_CHANNEL = "Microsoft-Windows-Sysmon/Operational", "Security"
@@ -69,9 +69,7 @@ ECS = (
 
 
 def parse_ecs(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("r", F.from_json("line", ECS)).withColumn(
-        "shape", F.when(F.try_parse_json("line").isNotNull(), "one JSON record per line")
-    ).select("file", "block", "seq", "shape", "line", "r.*").select(
+    return with_parsed(lines, "line", ECS).select(
         "*", F.col("`@timestamp`").alias("stamp_text"), _first(F.col("winlog.channel")).alias("channel"),
         F.coalesce("winlog.event_id", "event.code").try_cast("int").alias("code"))
 
@@ -172,15 +170,15 @@ def parse_elastic(lines: DataFrame) -> DataFrame:
     """One flat record per line; ``_source`` is unwrapped, the channel comes from ``_index``."""
     inner = ", ".join(f"`{f}`: STRING" for f in _FLAT)
     outer = ", ".join(f"`{f}` STRING" for f in _FLAT)
-    parsed = lines.withColumn("r", F.from_json("line", f"_index STRING, _id STRING, _source STRUCT<{inner}>, {outer}"))
-    wrapped = F.col("r._source").isNotNull()
+    parsed = with_parsed(lines, "line", f"_index STRING, _id STRING, _source STRUCT<{inner}>, {outer}")
+    wrapped = F.col("_source").isNotNull()
     plain = lambda c: F.coalesce(F.when(F.trim(c).isin("-", "null"), "").otherwise(F.trim(c)), F.lit(""))
-    fields = {f: plain(F.when(wrapped, F.col(f"r._source.`{f}`")).otherwise(F.col(f"r.`{f}`"))) for f in _FLAT}
-    index = F.regexp_extract(F.coalesce("r._index", F.lit("")), r"^(?:.*winevent-)?(.*?)(?:-[^-]*)?$", 1)
+    fields = {f: plain(F.when(wrapped, F.col(f"_source.`{f}`")).otherwise(F.col(f"`{f}`"))) for f in _FLAT}
+    index = F.regexp_extract(F.coalesce("_index", F.lit("")), r"^(?:.*winevent-)?(.*?)(?:-[^-]*)?$", 1)
     fields["_channel"] = F.when(wrapped & (fields["_channel"] == ""), index).otherwise(fields["_channel"])
-    fields["_doc_id"] = F.when(wrapped & (fields["_doc_id"] == ""), F.coalesce("r._id", F.lit(""))).otherwise(fields["_doc_id"])
+    fields["_doc_id"] = F.when(wrapped & (fields["_doc_id"] == ""), F.coalesce("_id", F.lit(""))).otherwise(fields["_doc_id"])
     return parsed.select(
-        "file", "block", "seq", "line", F.when(F.try_parse_json("line").isNotNull(), "one JSON record per line").alias("shape"),
+        "file", "block", "seq", "line", "shape",
         *[c.alias(f.replace("@", "at_")) for f, c in fields.items()]).withColumn("_channel", F.lower("_channel"))
 
 
