@@ -16,9 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage_cut import cut
 from ..schemas import Telemetry
 
 SNIFF_RECORDS = 20
+# Up to this many file names (some 20 MB) travel to every task.
+BROADCAST_FILES = 200_000
 # Reasons a file is refused (fixed values).
 WRONG_SHAPE = "extension matched but content is not this source's telemetry"
 UNPARSEABLE = "file does not parse in any shape this source accepts"
@@ -116,55 +119,70 @@ def with_parsed(lines: DataFrame, column: str, schema: str, shape: str = "one JS
     return lines.select(*keep, kind, F.inline(F.array(F.from_json(column, schema))))
 
 
+def settle(df: DataFrame, columns: dict[str, Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Evaluate derived columns once, before anything filters on them.
+
+    A plain projection would be inlined into every later filter; a generator is not.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def is_json(line: Column) -> Column:
     return F.try_parse_json(line).isNotNull()
 
 
+def bounded(files_table: DataFrame) -> DataFrame:
+    """A per-file table, marked for broadcast only when it is counted and small."""
+    few = files_table.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    return F.broadcast(files_table) if few else files_table
+
+
 def documents(lines: DataFrame) -> DataFrame:
     """Lines as parseable units: whole-line JSON as it is, other files reassembled.
 
-    ``file, block, seq, line, lines_in_unit``.  A file with no parseable line at all, or
-    whose lines only parse together, becomes one unit.
+    ``file, block, seq, line``.  A file whose first line is not JSON by itself is one document
+    spread over lines.  The only wide step is an aggregate per file; the lines of ordinary
+    files are never shuffled.
     """
-    marked = lines.withColumn("_ok", is_json(F.col("line")))
-    # A pretty-printed document leaves unparsable lines; a file of records has none.
-    broken = marked.groupBy("file").agg(F.bool_or(~F.col("_ok")).alias("_broken"))
-    joined = marked.join(broken, "file")
-    by_line = joined.where(~F.col("_broken")).select(
-        "file", "block", "seq", "line", F.lit(1).cast("long").alias("lines_in_unit"))
-    whole = joined.where("_broken").groupBy("file").agg(
+    first = F.min_by(is_json(F.col("line")), F.struct("block", "seq"))
+    spread = cut(lines.groupBy("file").agg(first.alias("_ok")).where(~F.col("_ok")).select("file"))
+    names = bounded(spread)
+    by_line = lines.join(names, "file", "left_anti").select("file", "block", "seq", "line")
+    whole = lines.join(names, "file", "left_semi").groupBy("file").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("block", "seq", "line"))), lambda s: s["line"]), "\n"
         ).alias("line"),
-        F.count(F.lit(1)).alias("lines_in_unit"),
-    ).select("file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"), "line", "lines_in_unit")
+    ).select("file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"), "line")
     return by_line.unionByName(whole)
 
 
-def admit(records: DataFrame, identifies: Column, shape: Column, telemetry: str) -> DataFrame:
+def admit(
+    records: DataFrame, identifies: Column, shape: Column, telemetry: str, whole_file: bool = False
+) -> DataFrame:
     """One row per file: is any of its first 20 records this telemetry.
 
     ``records`` has ``file, block, seq`` and the parsed columns the predicate reads; a record
-    that did not parse has a null ``shape``.  ``file, admitted, reason, shape, records``.
+    that did not parse has a null ``shape``, and with ``whole_file`` it refuses its file.
+    ``file, admitted, reason, shape, records``, written once: every table of an import reads it.
     """
     slim = records.select(
         "file", "block", "seq", F.coalesce(identifies, F.lit(False)).alias("_hit"), shape.alias("_shape"))
     # The limit is applied before the shuffle, so a huge file sends 20 rows per split.
     order = Window.partitionBy("file").orderBy("block", "seq")
     head = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SNIFF_RECORDS)
-    sniffed = head.groupBy("file").agg(
-        F.bool_or("_hit").alias("_hit"), F.max("_shape").alias("shape"),
-        F.count(F.lit(1)).alias("_seen"))
-    counted = slim.groupBy("file").agg(F.count(F.lit(1)).alias("records"))
-    return sniffed.join(counted, "file").select(
-        "file", (F.col("_hit") & F.col("shape").isNotNull()).alias("admitted"),
-        F.when(F.col("shape").isNull(), UNPARSEABLE).when(~F.col("_hit"), WRONG_SHAPE)
+    sniffed = head.groupBy("file").agg(F.bool_or("_hit").alias("_hit"), F.max("_shape").alias("shape"))
+    counted = slim.groupBy("file").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("_shape").isNull()).alias("_bad"))
+    unreadable = F.col("shape").isNull() | (F.lit(whole_file) & (F.col("_bad") > 0))
+    return cut(sniffed.join(counted, "file").select(
+        "file", (F.col("_hit") & ~unreadable).alias("admitted"),
+        F.when(unreadable, UNPARSEABLE).when(~F.col("_hit"), WRONG_SHAPE)
         .otherwise(f"recognised as {telemetry}").alias("reason"),
-        F.coalesce("shape", F.lit("")).alias("shape"), "records")
+        F.coalesce("shape", F.lit("")).alias("shape"), "records"))
 
 
 def keep_admitted(records: DataFrame, admissions: DataFrame) -> DataFrame:
-    return records.join(admissions.where("admitted").select("file"), "file", "left_semi")
+    return records.join(bounded(admissions.where("admitted").select("file")), "file", "left_semi")
 
 
 def issue_rows(df: DataFrame, event_type: str | Column, reason: Column, reference: Column, field: str = "") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.identity import start_identity, sysmon_identity
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, LOGON, NETWORK, PROCESS
-from .files import Ingest, admit, issue_rows, keep_admitted, read_deflated_lines, read_lines, with_parsed
+from .files import Ingest, admit, issue_rows, keep_admitted, read_deflated_lines, read_lines, settle, with_parsed
 from .normalise import coerce, mint_event_id, quarantine
 
 SYSMON_CHANNEL, SECURITY_CHANNEL = "Microsoft-Windows-Sysmon/Operational", "Security"
@@ -94,7 +94,7 @@ def winlogbeat_rows(parsed: DataFrame) -> dict[str, DataFrame]:
         core = {
             "event_id": mint_event_id(f"wlb-{name}", place), "timestamp": stamp, "event_type": F.lit(name),
             "device": host, "user": user, "source": F.lit("winlogbeat"), "source_ref": ref}
-        return parsed.where(where).select(*[c.alias(n) for n, c in {**core, **columns}.items()])
+        return settle(parsed.where(where), {**core, **columns})
 
     sysmon = F.col("channel") == SYSMON_CHANNEL
     image = _first(F.col("process.name"), _basename(F.col("process.executable")))
@@ -205,7 +205,7 @@ def elastic_rows(parsed: DataFrame) -> dict[str, DataFrame]:
         core = {
             "event_id": ref, "timestamp": stamp, "event_type": F.lit(name), "device": device, "user": user,
             "source": F.lit("elastic_winevent"), "source_ref": ref}
-        return parsed.where(where).select(*[v.alias(n) for n, v in {**core, **columns}.items()])
+        return settle(parsed.where(where), {**core, **columns})
 
     pid = c("process_id").try_cast("long")
     own = sysmon_identity(c("process_guid"))
