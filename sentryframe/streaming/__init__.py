@@ -1,0 +1 @@
+"""No streaming operators: every source of this engine is a batch of files."""
