@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from sentryframe.checks import load_catalogue  # noqa: E402
 
-# Hunting, the environment, correlation and ingest, as the reference's figures divide them.
+# Hunting, the environment, correlation and ingest.
 HEADLINE = (
     "w01_episodes_3_in_48h", "w02_sliding_max_distinct_types", "a09_connection_patterns",
     "j01_first_use_after_grant", "d02_encoded_powershell", "d03_interpreter_egress",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import micros
-from .buckets import BUCKET, OWN, US, WINDOWS_PER_BUCKET, with_halo
+from .buckets import BUCKET, US, WINDOWS_PER_BUCKET, with_halo
 
 
 def first_after(

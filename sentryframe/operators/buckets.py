@@ -26,7 +26,7 @@ def bucket_of(us: Column, width: int) -> Column:
 def own_bucket(df: DataFrame, ts: str, width: int) -> DataFrame:
     """Add the instant in microseconds and the bucket that owns the row."""
     us = F.unix_micros(F.col(ts))
-    return df.withColumn(US, us).withColumn(BUCKET, F.floor(us / F.lit(width)).cast("long"))
+    return df.withColumn(US, us).withColumn(BUCKET, bucket_of(us, width))
 
 
 def with_halo(

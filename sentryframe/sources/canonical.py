@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import event_summary
-from ..schemas import TABLE_COLUMNS, TABLE_SCHEMAS, TABLE_STEMS, UNIFIED_COLUMNS, Telemetry, empty_table
+from ..schemas import TABLE_COLUMNS, TABLE_STEMS, UNIFIED_COLUMNS, Telemetry, empty_table
 from ..vocab import CONTROL, EVENT_TYPES
 from .normalise import assert_global_ids, coerce
 
@@ -89,7 +89,3 @@ def unified(tel: Telemetry) -> DataFrame:
 def without(tel: Telemetry, ids: DataFrame) -> Telemetry:
     """The telemetry minus the rows whose ``event_id`` is listed."""
     return tel.map(lambda _, df: df.join(ids.select("event_id"), "event_id", "left_anti").select(*df.columns))
-
-
-def column_types(name: str) -> dict[str, str]:
-    return {f.name: f.dataType.typeName() for f in TABLE_SCHEMAS[name].fields}
