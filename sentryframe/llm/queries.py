@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, pieces, quality, secrets
+from . import chat, decontaminate, langid, linededup, minhash, pieces, quality, secrets
 from .common import read
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = langid.learn(docs, ~langid.held_out())
@@ -86,12 +94,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
+    op1_near_duplicates, op3_language_id, op4_line_dedup, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
 )}
 
 WORDS7 = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 ORACLES = {
+    "op4_line_dedup": r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+solid AS (
+  SELECT *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '[^\x20\x09-\x0D]')) AS p FROM split),
+windows AS (
+  SELECT doc_id, p, s, ls[p[s]] AS a, ls[p[s + 1]] AS b, ls[p[s + 2]] AS c FROM solid, unnest(range(1, len(p) - 1)) AS t(s)),
+firsts AS (SELECT a, b, c, min((doc_id, s)) AS f FROM windows GROUP BY a, b, c HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p[q]) AS g FROM windows JOIN firsts USING (a, b, c), unnest(range(s, s + 3)) AS t(q)
+  WHERE (doc_id, s) <> f GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NULL THEN NULL WHEN g IS NULL THEN text ELSE coalesce(list_aggregate(
+         list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]),
+         'string_agg', chr(10)), '') END AS text
+FROM solid LEFT JOIN gone USING (doc_id)""",
     "op7_decontaminate": f"""
 WITH items AS (SELECT item_id, {WORDS7.format('text')} AS w FROM benchmark),
 windows AS (
