@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, linededup, minhash, pieces, quality, secrets
+from . import chat, decontaminate, html, langid, linededup, minhash, pieces, quality, secrets, urls
 from .common import read
 
 
@@ -17,6 +17,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = langid.learn(docs, ~langid.held_out())
@@ -94,7 +102,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_language_id, op4_line_dedup, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
+    op1_near_duplicates, op2_html_text, op3_language_id, op4_line_dedup, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
 )}
 
 WORDS7 = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
