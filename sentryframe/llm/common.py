@@ -16,6 +16,9 @@ from ..operators.lineage_cut import cut
 #: Bytes of a batch that a Python function sees at once; a longer single row still comes whole.
 PIECE_BYTES = 4 << 20
 
+#: Rows of an Arrow batch: both sides hold batches of whole texts outside the JVM's heap.
+BATCH_ROWS = 500
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 __all__ = ["PIECE_BYTES", "ascii_lower", "cut", "let", "map_batches", "pieces", "read", "sha256_hex", "ship"]
@@ -53,7 +56,13 @@ def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.Recor
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function to every batch of the rows, a few megabytes at a time."""
+    """Apply a function to every batch of the rows, a few megabytes at a time.
+
+    Arrow batches hold at most BATCH_ROWS rows, unless the session names a number itself.
+    """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(rows, None) in (None, "10000"):
+        conf.set(rows, str(BATCH_ROWS))
 
     def run(batches):
         for batch in batches:
