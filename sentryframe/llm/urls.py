@@ -127,15 +127,15 @@ def calibrated(examples: DataFrame) -> float:
     yes, no = (sum(b.get(v, 0) for b in bins.values()) for v in ("allow", "block"))
     if not yes or not no:
         return 0.0
-    lost = passed = 0
+    lost, passed, below = 0, no, None
     best, threshold = math.inf, 0.0
-    passed = no
     for at_bin in sorted(bins):
         errors = lost / yes + passed / no
-        if errors < best:
-            best, threshold = errors, at_bin * BIN
+        if errors < best:  # half-way to the scores below, as no example tells where between to stop
+            best, threshold = errors, BIN * (at_bin if below is None else (at_bin + below + 1) / 2)
         lost += bins[at_bin].get("allow", 0)
         passed -= bins[at_bin].get("block", 0)
+        below = at_bin
     return threshold
 
 
