@@ -100,15 +100,30 @@ def n12(spark, sf):
 
 
 @query("n24_source_ledger", _CT + f""",
+  g AS (SELECT *, moves AND verb IN ('attach', 'detach') AS guaranteed FROM full_rows),
   late AS (SELECT count(*) AS n FROM ev WHERE k % 11 <> 0 AND us > {LOAD_US} + 86400000000)
   SELECT 'files_admitted' AS measure, 'recognised as CloudTrail' AS class, 5 AS n UNION ALL SELECT 'records_read', '', count(*) FROM ev
-  UNION ALL SELECT 'records_refused', '', NULL WHERE false UNION ALL SELECT 'issues', 'no usable principal name', count(*) FROM ev WHERE k % 11 = 0
+  UNION ALL SELECT 'issues', 'no usable principal name', count(*) FROM ev WHERE k % 11 = 0
   UNION ALL SELECT 'issues', 'timestamp in the future', n FROM late UNION ALL SELECT 'issues', 'no verb could be read from the event name', count(*) FROM full_rows WHERE verb = 'listthings'
   UNION ALL SELECT 'rows', 'control', count(*) FROM full_rows WHERE us <= {LOAD_US} + 86400000000
-  UNION ALL SELECT 'rows', 'logon', count(*) FROM ev WHERE k % 13 = 0 AND k % 11 <> 0 AND us <= {LOAD_US} + 86400000000""")
+  UNION ALL SELECT 'rows', 'logon', count(*) FROM ev WHERE k % 13 = 0 AND k % 11 <> 0 AND us <= {LOAD_US} + 86400000000
+  UNION ALL SELECT 'field_gaps', 'request carried no parameters (decision=' || decision || ')', count(*) FROM g WHERE guaranteed AND target_actor = '' GROUP BY ALL
+  UNION ALL SELECT 'field_gaps', 'request carried no parameters (decision=' || decision || ')', count(*) FROM g WHERE guaranteed AND role_ref = '' GROUP BY ALL
+  UNION ALL SELECT 'field_gaps', 'not guaranteed on this action', count(*) FROM g WHERE NOT guaranteed AND moves AND target_actor = '' HAVING count(*) > 0""")
 def n24(spark, sf):
-    found = files.source_ledger(_cloudtrail(spark, sf))
-    return found.where((F.col("measure") != "field_gaps") & F.col("n").isNotNull())
+    return files.source_ledger(_cloudtrail(spark, sf))
+
+
+@query("n26_event_ids", _CT + f"""
+  SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_same FROM full_rows WHERE us <= {LOAD_US} + 86400000000""")
+def n26(spark, sf):
+    """The same records from files split and ordered in another way get the same ids."""
+    lines = _cloudtrail_lines(spark, sf)
+    moved = lines.withColumns({"block": F.col("seq") % 7 * (1 << 33), "seq": -F.col("seq")}).repartition(5, "line")
+    ids, other = (cloudtrail._ingest(x, LOAD).tables.controls.select("event_id") for x in (lines, moved))
+    again = other.select(F.col("event_id").alias("o"))
+    return ids.join(again, F.col("event_id") == F.col("o"), "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_ids"), F.count("o").alias("n_same"))
 
 
 @query("n25_field_gaps", _CT + """,
@@ -245,7 +260,7 @@ def _k8s_lines(spark, sf) -> DataFrame:
     CASE WHEN k % 3 = 0 THEN 'system:serviceaccount:ns:sa' || (k % 4) || ',u' || (k % 5) ELSE '' END AS target_actor, CASE WHEN k % 3 = 0 THEN 'admin' ELSE '' END AS role_ref,
     CASE WHEN k % 2 = 0 THEN 'allowed' ELSE 'denied' END AS decision FROM ev WHERE k % 10 <> 0 AND k % 3 <> 2 AND n % 50 <> 49""")
 def s05(spark, sf):
-    events = k8s.parse_events(k8s.raw_events(_k8s_lines(spark, sf)))
+    events = k8s.staged_events(_k8s_lines(spark, sf))
     rows = k8s.k8s_controls(events.where("shape IS NOT NULL"), "c").where("reason IS NULL")
     return rows.select("source_ref", "actor", "actor_groups", "verb", "resource_type", "target_actor", "role_ref", "decision")
 

@@ -65,8 +65,11 @@ def append_verdicts(verdicts: DataFrame, path: str) -> None:
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """The log, malformed lines skipped, each line with its place."""
     raw = spark.read.schema(VERDICT).option("mode", "DROPMALFORMED").json(path)
-    return raw.where(F.col("finding_id").isNotNull() & F.col("verdict").isNotNull()).withColumn(
-        "line_no", F.monotonically_increasing_id())
+    # A file's age and name, the split's start and the order inside it: the same however files are split.
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("age"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    return raw.select("*", place.alias("line_no")).where(F.col("finding_id").isNotNull() & F.col("verdict").isNotNull())
 
 
 def latest_verdict(log: DataFrame) -> DataFrame:

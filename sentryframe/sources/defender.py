@@ -11,7 +11,7 @@ from ..functions.identity import start_identity
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, LOGON, NETWORK, PROCESS
-from .files import WRONG_SHAPE, Ingest, issue_rows
+from .files import WRONG_SHAPE, Ingest, issue_rows, number_copies
 from .normalise import coerce, mint_event_id, quarantine
 
 # Export column -> canonical column (fixed values).
@@ -95,14 +95,15 @@ def defender_rows(raw: DataFrame, event_type: str, file_name: str) -> tuple[Data
         values |= {"logon_type": _lookup(text("LogonType"), LOGON_TYPES), "action": _lookup(text("ActionType"), LOGON_ACTIONS)}
         reason = reason.when(F.col("logon_type").isNull(), "unrecognised LogonType value").when(
             F.col("action").isNull(), "unrecognised ActionType value")
-    # Identical export rows are told apart by their content's running place in the file.
-    place = F.concat_ws("#", ref, F.to_json(F.struct("*")), F.monotonically_increasing_id().cast("string"))
+    # Identical export rows are told apart by a number among their equals.
+    raw = number_copies(raw.withColumn("file", F.lit(file_name)), F.to_json(F.struct("*")))
+    place = F.concat_ws("#", ref, F.col("record_key"), F.col("copy").cast("string"))
     rows = raw.select(mint_event_id(f"defender-{event_type}", place).alias("event_id"), *[v.alias(n) for n, v in values.items()])
     return rows.withColumn("reason", reason), absent
 
 
 def read_defender_export(spark: SparkSession, files: dict[str, list[str]], load_time: datetime | str) -> Ingest:
-    """``files`` lists candidate paths per table; the first whose header fits is read.
+    """``files`` lists candidate paths per table; every one whose header fits is read.
 
     A file name is only a hint: the header decides, and the others are refused with a reason.
     """
@@ -110,7 +111,6 @@ def read_defender_export(spark: SparkSession, files: dict[str, list[str]], load_
     admissions, issues, gaps = [], [], []
     for event_type in (PROCESS, NETWORK, LOGON):
         tables[event_type] = empty_table(spark, event_type)
-        taken = False
         for path in files.get(event_type, []):
             name = path.rsplit("/", 1)[-1]
             raw = read_export(spark, path)
@@ -121,14 +121,13 @@ def read_defender_export(spark: SparkSession, files: dict[str, list[str]], load_
                       else f"{WRONG_SHAPE}: header carries no {', '.join(missing)}").alias("reason"),
                 F.lit("a Defender advanced-hunting export").alias("shape"), "records")
             admissions.append(verdict)
-            if missing or taken:
+            if missing:
                 continue
-            taken = True
             rows, absent = defender_rows(raw, event_type, name)
             issues.append(issue_rows(rows.where(F.col("reason").isNotNull()), event_type, F.col("reason"), F.col("source_ref")))
             good = quarantine(coerce(rows.where(F.col("reason").isNull()), event_type), load_time)
             issues.append(issue_rows(good.issues, event_type, F.col("reason"), F.col("source_ref")))
-            tables[event_type] = good.rows
+            tables[event_type] = tables[event_type].unionByName(good.rows)
             for canonical, source in sorted(absent.items()):
                 gaps.append(good.rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
                     F.lit(f"{event_type}.{canonical}").alias("column"),

@@ -1,8 +1,9 @@
 """Text files as records: reading, sniffing and admitting them.
 
 Lines are read with their file name, so a large line-delimited file splits over many tasks.
-A file whose lines are not all JSON is one document spread over lines and is put together
-again; only such files pay for that.
+A file that opens and closes with a lone bracket may be one document spread over lines; only
+such files are put together, and only if the whole then parses.  Typed records are written to
+one staging table, which admissions, tables and issues all read.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from ..operators.lineage_cut import cut
 from ..schemas import Telemetry
 
-SNIFF_RECORDS = 20
-# Up to this many file names (some 20 MB) travel to every task.
-BROADCAST_FILES = 200_000
 # Reasons a file is refused (fixed values).
 WRONG_SHAPE = "extension matched but content is not this source's telemetry"
 UNPARSEABLE = "file does not parse in any shape this source accepts"
@@ -56,10 +54,13 @@ def read_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     ).where(F.col("line") != "")
 
 
+def _frame(name: str, text: str) -> pd.DataFrame:
+    return pd.DataFrame([(name, text)], columns=["file", "text"]).astype(object)
+
+
 def _members(kinds: tuple[str, ...]):
     def expand(batches):
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 name = path.rsplit("/", 1)[-1]
                 with tarfile.open(fileobj=io.BytesIO(content)) as archive:
@@ -69,35 +70,51 @@ def _members(kinds: tuple[str, ...]):
                         data = archive.extractfile(member).read()
                         if member.name.lower().endswith(".gz"):
                             data = zlib.decompress(data, 31)
-                        rows.append((f"{name}:{member.name}", data.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["file", "text"]).astype(object)
+                        yield _frame(f"{name}:{member.name}", data.decode("utf-8", "replace"))
 
     return expand
 
 
+def _archives(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
 def read_tar_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the JSON members of tar archives; each archive is opened in one task."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path)
-    texts = archives.select("path", "content").mapInPandas(
-        _members((".json", ".json.gz")), "file string, text string")
-    return _text_lines(texts)
+    """Lines of the JSON members of tar archives; each archive is opened in one task, member by member."""
+    return _text_lines(_archives(spark, path, "*.tar").mapInPandas(
+        _members((".json", ".json.gz")), "file string, text string"))
 
 
 def read_deflated_lines(spark: SparkSession, path: str, glob: str = "*.bz2") -> DataFrame:
-    """Lines of bz2 files that were wrapped once more in a raw deflate stream."""
+    """Lines of bz2 files that were wrapped once more in a raw deflate stream, inflated piece by piece."""
     import bz2
 
-    def inflate(batches):
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                if not content.startswith(b"BZh"):
-                    content = zlib.decompressobj(-15).decompress(content)
-                rows.append((name.rsplit("/", 1)[-1], bz2.decompress(content).decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["file", "text"]).astype(object)
+    def chunks(content: bytes, size: int = 1 << 20):
+        inflate = None if content.startswith(b"BZh") else zlib.decompressobj(-15)
+        for at in range(0, len(content), size):
+            part = content[at:at + size]
+            yield part if inflate is None else inflate.decompress(part)
+        if inflate is not None:
+            yield inflate.flush()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return _text_lines(files.select("path", "content").mapInPandas(inflate, "file string, text string"))
+    def unpack(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                name, rest, stream = path.rsplit("/", 1)[-1], b"", bz2.BZ2Decompressor()
+                for part in chunks(content):
+                    while part:
+                        if stream.eof:
+                            stream = bz2.BZ2Decompressor()
+                        rest += stream.decompress(part)
+                        part = stream.unused_data if stream.eof else b""
+                        whole, cut_at, tail = rest.rpartition(b"\n")
+                        if cut_at:
+                            yield _frame(name, whole.decode("utf-8", "replace"))
+                            rest = tail
+                if rest:
+                    yield _frame(name, rest.decode("utf-8", "replace"))
+
+    return _text_lines(_archives(spark, path, glob).mapInPandas(unpack, "file string, text string"))
 
 
 def _text_lines(texts: DataFrame) -> DataFrame:
@@ -127,54 +144,59 @@ def settle(df: DataFrame, columns: dict[str, Column], keep: tuple[str, ...] = ()
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def is_json(line: Column) -> Column:
-    return F.try_parse_json(line).isNotNull()
+def _pieces(lines: DataFrame) -> DataFrame:
+    """Files that may be one document spread over lines.
 
-
-def bounded(files_table: DataFrame) -> DataFrame:
-    """A per-file table, marked for broadcast only when it is counted and small."""
-    few = files_table.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
-    return F.broadcast(files_table) if few else files_table
+    Neither the first nor the last line is a bracketed value by itself, and at most half of all
+    lines are: a record log with broken ends is not taken for a document.
+    """
+    line = F.col("line")
+    closed = (line.startswith("{") & line.endswith("}")) | (line.startswith("[") & line.endswith("]"))
+    place = F.struct("block", "seq", closed.alias("closed"))
+    ends = lines.groupBy("file").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.count_if(closed).alias("closed"), F.count(F.lit(1)).alias("n"))
+    return ends.where("NOT first.closed AND NOT last.closed AND n > 1 AND 2 * closed <= n").select("file")
 
 
 def documents(lines: DataFrame) -> DataFrame:
-    """Lines as parseable units: whole-line JSON as it is, other files reassembled.
+    """Lines as units that parse: ``file, line, value`` (a VARIANT, null where the text is not JSON).
 
-    ``file, block, seq, line``.  A file whose first line is not JSON by itself is one document
-    spread over lines.  The only wide step is an aggregate per file; the lines of ordinary
-    files are never shuffled.
+    A file spread over lines is put together, and kept so if it parses; any other file is one
+    unit per line.  Lines of ordinary files are not shuffled, and each unit is parsed once.
     """
-    first = F.min_by(is_json(F.col("line")), F.struct("block", "seq"))
-    spread = cut(lines.groupBy("file").agg(first.alias("_ok")).where(~F.col("_ok")).select("file"))
-    names = bounded(spread)
-    by_line = lines.join(names, "file", "left_anti").select("file", "block", "seq", "line")
-    whole = lines.join(names, "file", "left_semi").groupBy("file").agg(
+    parse = lambda df: df.select("file", "line", F.inline(F.array(F.struct(F.try_parse_json("line").alias("value")))))
+    likely = lines.join(_pieces(lines), "file", "left_semi").groupBy("file").agg(
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("block", "seq", "line"))), lambda s: s["line"]), "\n"
-        ).alias("line"),
-    ).select("file", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"), "line")
+            F.array_sort(F.collect_list(F.struct("block", "seq", "line"))), lambda s: s["line"]), "\n").alias("line"))
+    whole = cut(parse(likely).where("value IS NOT NULL"))
+    by_line = parse(lines.join(whole.select("file"), "file", "left_anti"))
     return by_line.unionByName(whole)
 
 
-def admit(
-    records: DataFrame, identifies: Column, shape: Column, telemetry: str, whole_file: bool = False
-) -> DataFrame:
-    """One row per file: is any of its first 20 records this telemetry.
+def number_copies(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds ``record_key``, a digest of file and text, and ``copy``, which numbers equal texts of a file.
+
+    Both depend on what the files hold, not on how they were split.  Only rows that have an
+    equal are shuffled.
+    """
+    keyed = cut(rows.withColumn("record_key", F.sha2(F.concat_ws("#", F.col("file"), text), 256)))
+    again = keyed.groupBy("record_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record_key")
+    number = F.row_number().over(Window.partitionBy("record_key").orderBy(F.lit(1)))
+    many = keyed.join(again, "record_key", "left_semi").withColumn("copy", number)
+    return keyed.join(again, "record_key", "left_anti").withColumn("copy", F.lit(1)).unionByName(many)
+
+
+def admit(records: DataFrame, identifies: Column, shape: Column, telemetry: str) -> DataFrame:
+    """One row per file: is any of its records this telemetry.
 
-    ``records`` has ``file, block, seq`` and the parsed columns the predicate reads; a record
-    that did not parse has a null ``shape``, and with ``whole_file`` it refuses its file.
+    ``records`` has ``file`` and the parsed columns the predicate reads; a record that did not
+    parse has a null ``shape``, and a file of such records only is refused.
     ``file, admitted, reason, shape, records``, written once: every table of an import reads it.
     """
-    slim = records.select(
-        "file", "block", "seq", F.coalesce(identifies, F.lit(False)).alias("_hit"), shape.alias("_shape"))
-    # The limit is applied before the shuffle, so a huge file sends 20 rows per split.
-    order = Window.partitionBy("file").orderBy("block", "seq")
-    head = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SNIFF_RECORDS)
-    sniffed = head.groupBy("file").agg(F.bool_or("_hit").alias("_hit"), F.max("_shape").alias("shape"))
-    counted = slim.groupBy("file").agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.col("_shape").isNull()).alias("_bad"))
-    unreadable = F.col("shape").isNull() | (F.lit(whole_file) & (F.col("_bad") > 0))
-    return cut(sniffed.join(counted, "file").select(
+    found = records.groupBy("file").agg(
+        F.bool_or(F.coalesce(identifies, F.lit(False))).alias("_hit"), F.max(shape).alias("shape"), F.count(F.lit(1)).alias("records"))
+    unreadable = F.col("shape").isNull()
+    return cut(found.select(
         "file", (F.col("_hit") & ~unreadable).alias("admitted"),
         F.when(unreadable, UNPARSEABLE).when(~F.col("_hit"), WRONG_SHAPE)
         .otherwise(f"recognised as {telemetry}").alias("reason"),
@@ -182,7 +204,7 @@ def admit(
 
 
 def keep_admitted(records: DataFrame, admissions: DataFrame) -> DataFrame:
-    return records.join(bounded(admissions.where("admitted").select("file")), "file", "left_semi")
+    return records.join(admissions.where("admitted").select("file"), "file", "left_semi")
 
 
 def issue_rows(df: DataFrame, event_type: str | Column, reason: Column, reference: Column, field: str = "") -> DataFrame:

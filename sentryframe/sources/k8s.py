@@ -11,7 +11,7 @@ from ..functions.control import classify_decision
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, FAILED, LOGON, NETWORK, PROCESS, RBAC_BINDING_RESOURCES
-from .files import Ingest, admit, issue_rows, keep_admitted, read_lines, with_parsed
+from .files import Ingest, admit, documents, issue_rows, keep_admitted, number_copies, read_lines, with_parsed
 from .normalise import coerce, mint_event_id, quarantine
 
 FINAL_STAGE = "ResponseComplete"
@@ -28,29 +28,18 @@ EVENT = (
 
 
 def raw_events(lines: DataFrame) -> DataFrame:
-    """``file, block, seq, shape, record``; an unparsable line keeps a null shape.
+    """``file, shape, record``; text that does not parse keeps a null shape.
 
-    An EventList (its first 200 characters name ``items``) is one document; any other file
-    is one event per line and each bad line is one issue.
+    What parses to an object with an ``items`` array is a list of events; anything else that
+    parses is one event; each line that does not is one issue.
     """
-    head = lines.groupBy("file").agg(F.min_by(F.substring("line", 1, 200), F.struct("block", "seq")).alias("_h"),
-                                     F.min(F.struct("block", "seq")).alias("_at"))
-    # A pretty-printed list opens with "{" alone; its "items" key follows within a few lines.
-    near = lines.where(F.substring("line", 1, 200).contains('"items"')).groupBy("file").agg(F.lit(True).alias("_items"))
-    kinds = head.join(near, "file", "left").select(
-        "file", (F.startswith("_h", F.lit("{")) & F.coalesce("_items", F.lit(False))
-                 & (~F.col("_h").contains('"auditID"') | F.col("_h").contains('"items"'))).alias("_list"))
-    marked = lines.join(kinds, "file")
-    whole = marked.where("_list").groupBy("file").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "line"))), lambda s: s["line"]), "\n").alias("_doc"))
-    items = F.from_json("_doc", "items ARRAY<VARIANT>")["items"]
-    listed = whole.select("file", F.posexplode_outer(F.transform(items, lambda i: F.to_json(i))).alias("_i", "record")).select(
-        "file", F.lit(0).cast("long").alias("block"), F.coalesce("_i", F.lit(0)).cast("long").alias("seq"),
-        F.when(F.col("record").isNotNull(), "a top-level 'items' array").alias("shape"), F.coalesce("record", F.lit("")).alias("record"))
-    by_line = marked.where(~F.col("_list")).select(
-        "file", "block", "seq", F.when(F.try_parse_json("line").isNotNull(), "one JSON Event per line").alias("shape"),
-        F.col("line").alias("record"))
-    return listed.unionByName(by_line)
+    listed = F.when(F.try_variant_get("value", "$.kind", "string").endswith("List") | F.try_variant_get("value", "$.auditID", "string").isNull(),
+                    F.try_variant_get("value", "$.items", "array<variant>"))
+    units = documents(lines).select("file", "line", "value", F.inline(F.array(F.struct(listed.alias("_items")))))
+    is_list = F.col("_items").isNotNull()
+    shape = F.when(is_list, "a top-level 'items' array").when(F.col("value").isNotNull(), "one JSON Event per line")
+    records = F.when(is_list, F.transform("_items", lambda i: F.to_json(i))).otherwise(F.array("line"))
+    return units.select("file", shape.alias("shape"), F.explode(records).alias("record"))
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
@@ -83,7 +72,7 @@ def k8s_controls(events: DataFrame, cluster: str) -> DataFrame:
     target = F.when(grant, rbac_subjects(F.col("requestObject.subjects"), text("objectRef.namespace"))).otherwise("")
     final = events.where(F.col("stage").isNull() | (F.col("stage") == FINAL_STAGE))
     reference = F.concat(F.lit("auditID="), F.coalesce("auditID", F.lit("?")), F.lit(";File="), F.col("file"))
-    place = F.concat_ws("#", reference, F.col("block").cast("string"), F.col("seq").cast("string"))
+    place = F.concat_ws("#", reference, F.col("record_key"), F.col("copy").cast("string"))
     rows = final.select(
         mint_event_id("k8s-control", place).alias("event_id"),
         parse_event_time(F.coalesce(F.nullif(F.col("stageTimestamp"), F.lit("")), F.col("requestReceivedTimestamp"))).alias("timestamp"),
@@ -105,7 +94,16 @@ def k8s_controls(events: DataFrame, cluster: str) -> DataFrame:
 
 def read_k8s_audit(spark: SparkSession, path: str, load_time: datetime | str, cluster: str = "default") -> Ingest:
     """``*.json``, ``*.jsonl`` and ``*.log`` under ``path``."""
-    events = parse_events(raw_events(read_lines(spark, path, "*.{json,jsonl,log}")))
+    return ingest_k8s(read_lines(spark, path, "*.{json,jsonl,log}"), load_time, cluster)
+
+
+def staged_events(lines: DataFrame) -> DataFrame:
+    """Typed events, written once, with what makes each of them itself."""
+    return number_copies(parse_events(raw_events(lines)), F.col("record"))
+
+
+def ingest_k8s(lines: DataFrame, load_time: datetime | str, cluster: str = "default") -> Ingest:
+    spark, events = lines.sparkSession, staged_events(lines)
     admissions = admit(events, looks_like_audit(), F.col("shape"), "Kubernetes audit")
     kept = keep_admitted(events, admissions)
     bad = issue_rows(kept.where(F.col("shape").isNull()), CONTROL, F.lit("line is not valid JSON"), F.col("file"))

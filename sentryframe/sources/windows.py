@@ -11,7 +11,9 @@ from ..functions.identity import start_identity, sysmon_identity
 from ..functions.time import parse_event_time
 from ..schemas import Telemetry, empty_table
 from ..vocab import CONTROL, LOGON, NETWORK, PROCESS
-from .files import Ingest, admit, issue_rows, keep_admitted, read_deflated_lines, read_lines, settle, with_parsed
+from .files import (
+    Ingest, admit, issue_rows, keep_admitted, number_copies, read_deflated_lines, read_lines, settle, with_parsed,
+)
 from .normalise import coerce, mint_event_id, quarantine
 
 SYSMON_CHANNEL, SECURITY_CHANNEL = "Microsoft-Windows-Sysmon/Operational", "Security"
@@ -90,7 +92,7 @@ def winlogbeat_rows(parsed: DataFrame) -> dict[str, DataFrame]:
     stamp = parse_event_time(F.col("stamp_text"))
 
     def rows(where, name, user, **columns):
-        place = F.concat_ws("#", ref, F.sha2("line", 256), F.col("block").cast("string"), F.col("seq").cast("string"))
+        place = F.concat_ws("#", ref, F.col("record_key"), F.col("copy").cast("string"))
         core = {
             "event_id": mint_event_id(f"wlb-{name}", place), "timestamp": stamp, "event_type": F.lit(name),
             "device": host, "user": user, "source": F.lit("winlogbeat"), "source_ref": ref}
@@ -133,7 +135,7 @@ def winlogbeat_rows(parsed: DataFrame) -> dict[str, DataFrame]:
 
 
 def ingest_winlogbeat(lines: DataFrame, load_time: datetime | str) -> Ingest:
-    parsed = parse_ecs(lines)
+    parsed = number_copies(parse_ecs(lines), F.col("line"))
     admissions = admit(parsed, looks_like_ecs(), F.col("shape"), "Winlogbeat ECS Windows events")
     kept = keep_admitted(parsed, admissions)
     bad = issue_rows(kept.where(F.col("shape").isNull()), PROCESS, F.lit("line is not valid JSON"), F.col("file"))
@@ -194,7 +196,7 @@ def elastic_rows(parsed: DataFrame) -> dict[str, DataFrame]:
     short = lambda x: F.lower(F.substring_index(x, ".", 1))
     stamp = F.coalesce(*[parse_event_time(F.nullif(c(n), F.lit(""))) for n in ("event_original_time", "at_timestamp", "event_recorded_time")])
     account = tail(_first(c("user_name"), c("user_account"), c("TargetUserName"), c("SubjectUserName")))
-    ref = F.concat(c("file"), F.lit(":"), F.when(c("_doc_id") != "", c("_doc_id")).otherwise(F.sha2("line", 256)))
+    ref = F.concat(c("file"), F.lit(":"), F.when(c("_doc_id") != "", c("_doc_id")).otherwise(F.col("record_key")))
     device = short(c("host_name"))
 
     def rows(name, user, **columns):
@@ -237,7 +239,7 @@ def elastic_rows(parsed: DataFrame) -> dict[str, DataFrame]:
 
 
 def ingest_elastic(lines: DataFrame, load_time: datetime | str) -> Ingest:
-    parsed = parse_elastic(lines)
+    parsed = number_copies(parse_elastic(lines), F.col("line"))
     admissions = admit(parsed, looks_like_elastic(), F.col("shape"), "Elastic-exported Windows events")
     kept = keep_admitted(parsed, admissions)
     bad = issue_rows(kept.where(F.col("shape").isNull()), PROCESS, F.lit("line is not valid JSON"), F.col("file"))
