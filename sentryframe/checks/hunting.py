@@ -414,43 +414,48 @@ def d14(spark, sf):
     return _out(spark, sf, "AWS-002", "verb")
 
 
-def _burst_sql(rule_id, where, minimum, span, severity, sample, keep="true", extra=""):
-    """Sample: a column to take the first row of each value of, or none for the first rows."""
-    ranked = (
-        f"""f AS (SELECT finding_id, us, event_id, row_number() OVER (PARTITION BY finding_id, {sample}
-      ORDER BY us, event_id) AS r FROM k),
-    s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY us, event_id) AS q
-      FROM f WHERE r = 1) WHERE q <= 20)""" if sample else
-        """s AS (SELECT * FROM (SELECT finding_id, us, event_id, row_number() OVER
-      (PARTITION BY finding_id ORDER BY us, event_id) AS q FROM k) WHERE q <= 20)""")
+def _burst_ctes(rule_id, where, minimum, span, keep="true"):
+    """``g``: the episodes that are findings; ``cited``: every event of each."""
     return P.with_tables("control", recursive=True) + f""",
     src AS (SELECT *, split_part(resource_type, ':', 1) AS service FROM control WHERE {where}),
     {episode_ctes("src", "actor", minimum, span)},
     g AS (SELECT actor, start_us, '{rule_id}:' || arg_min(event_id, (us, event_id)) AS finding_id,
       arg_min(device, (us, event_id)) AS device, count(*) AS n, count_if(decision = 'denied') AS denied,
       count(DISTINCT service) AS services, count(DISTINCT resource_type) AS kinds, min(us) AS lo, max(us) AS hi
-      FROM member GROUP BY actor, start_us),
-    k AS (SELECT m.*, g.finding_id FROM member m JOIN g ON m.actor = g.actor AND m.start_us = g.start_us WHERE {keep}),
-    {ranked},
-    e AS (SELECT finding_id, count(*) AS n, min(us) AS lo, max(us) AS hi FROM s GROUP BY finding_id)
-    SELECT finding_id, {severity} AS severity, g.device, g.actor AS "user", e.lo AS first_seen, e.hi AS last_seen,
-      e.n AS evidence_count, g.n AS call_count, g.kinds AS distinct_resource_types{extra}
-    FROM g JOIN e USING (finding_id)"""
+      FROM member GROUP BY actor, start_us HAVING {keep})"""
+
+
+def _burst_sql(rule_id, where, minimum, span, severity, keep="true", extra=""):
+    return _burst_ctes(rule_id, where, minimum, span, keep) + f"""
+    SELECT finding_id, {severity} AS severity, device, actor AS "user", lo AS first_seen, hi AS last_seen,
+      n AS evidence_count, n AS call_count, kinds AS distinct_resource_types{extra} FROM g"""
+
+
+def _burst_evidence(name, rule_id, *args):
+    """Every event that a burst rule cites."""
+    sql = _burst_ctes(rule_id, *args) + """
+    SELECT finding_id, event_id, us AS "timestamp", verb FROM member JOIN g USING (actor, start_us)"""
+
+    def fn(spark, sf):
+        out = REGISTRY[rule_id].run(P.telemetry(spark, sf), CONFIG)
+        verbs = P.controls(P.events(spark, sf)).select("event_id", "verb")
+        return out.evidence.join(verbs, "event_id").select("finding_id", "event_id", us("timestamp"), "verb")
+
+    query(name, sql)(fn)
 
 
 _READS = "verb IN ('get', 'list', 'describe')"
 
 
 @query("d15_service_discovery_burst", _burst_sql(
-    "AWS-003", _READS, 3, 72 * H, "CASE WHEN g.denied / g.n > 0.5 THEN 'high' ELSE 'medium' END",
-    "service", "services >= 3", ", services AS distinct_services, denied AS denied_count"))
+    "AWS-003", _READS, 3, 72 * H, "CASE WHEN denied / n > 0.5 THEN 'high' ELSE 'medium' END",
+    "count(DISTINCT service) >= 3", ", services AS distinct_services, denied AS denied_count"))
 def d15(spark, sf):
     return _out(spark, sf, "AWS-003", "call_count", "distinct_resource_types", "distinct_services", "denied_count")
 
 
 @query("d16_denial_burst", _burst_sql(
-    "AWS-004", "decision = 'denied'", 3, 48 * H, "CASE WHEN kinds >= 5 THEN 'high' ELSE 'medium' END",
-    "resource_type"))
+    "AWS-004", "decision = 'denied'", 3, 48 * H, "CASE WHEN kinds >= 5 THEN 'high' ELSE 'medium' END"))
 def d16(spark, sf):
     return _out(spark, sf, "AWS-004", "call_count", "distinct_resource_types")
 
@@ -459,7 +464,7 @@ _IDENTITY = "resource_type LIKE 'iam:%'"
 
 
 @query("d17_authority_removed", _burst_sql(
-    "AWS-005", f"{_IDENTITY} AND verb IN ('delete', 'detach') AND decision = 'allowed'", 1, 60 * H, "'medium'", None))
+    "AWS-005", f"{_IDENTITY} AND verb IN ('delete', 'detach') AND decision = 'allowed'", 1, 60 * H, "'medium'"))
 def d17(spark, sf):
     return _out(spark, sf, "AWS-005", "call_count", "distinct_resource_types")
 
@@ -468,11 +473,16 @@ _CHANGES = f"{_IDENTITY} AND verb IN ('attach', 'detach', 'create', 'delete', 'u
 
 
 @query("d18_rejected_changes", _burst_sql(
-    "AWS-006", f"{_CHANGES} AND decision = 'failed'", 2, 60 * H, "'medium'", None))
+    "AWS-006", f"{_CHANGES} AND decision = 'failed'", 2, 60 * H, "'medium'"))
 def d18(spark, sf):
     return _out(spark, sf, "AWS-006", "call_count", "distinct_resource_types")
 
 
+_burst_evidence("d15_burst_evidence", "AWS-003", _READS, 3, 72 * H, "count(DISTINCT service) >= 3")
+_burst_evidence("d16_burst_evidence", "AWS-004", "decision = 'denied'", 3, 48 * H)
+_burst_evidence("d17_burst_evidence", "AWS-005", f"{_IDENTITY} AND verb IN ('delete', 'detach') AND decision = 'allowed'", 1, 60 * H)
+_burst_evidence("d18_burst_evidence", "AWS-006", f"{_CHANGES} AND decision = 'failed'", 2, 60 * H)
+
 _PRIVILEGED = ("verb = 'create' AND resource_type IN ('rolebindings', 'clusterrolebindings') "
                "AND role_ref IN ('cluster-admin', 'admin') AND target_actor NOT IN ('', 'system:masters')")
 

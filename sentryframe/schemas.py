@@ -126,7 +126,7 @@ FINDING_METADATA = (
     ("denied_fraction", T.DoubleType()), ("denied_majority", _BOOL),
     ("distinct_services", _LONG), ("distinct_resource_types", _LONG),
     ("resource_type_breadth", _BOOL), ("target_actors", _ARR), ("verb_classes", _ARR),
-    ("window_start", _TS), ("window_end", _TS), ("evidence_truncated", _BOOL),
+    ("window_start", _TS), ("window_end", _TS),
 )
 FINDING_SCHEMA = T.StructType(
     [

@@ -44,7 +44,8 @@ def test_denial_burst_needs_25_and_grades_by_breadth(spark):
     assert run(spark, "AWS-004", controls=rows(24, 5))[0] == []
     [narrow], _ = run(spark, "AWS-004", controls=rows(25, 1))
     [broad], cited = run(spark, "AWS-004", controls=rows(40, 5))
-    assert (narrow.severity, broad.severity, len(cited), broad.evidence_truncated) == ("medium", "high", 5, True)
+    assert (narrow.severity, broad.severity, len(cited), broad.evidence_count) == ("medium", "high", 40, 40)
+    assert broad.last_seen == at(39)
 
 
 def test_rules_see_only_their_channels(spark):
