@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import micros
 from .buckets import BUCKET, US, own_bucket
+from .lineage_cut import cut
 
 # Gaps are measured inside day buckets; the few gaps across buckets are stitched after.
 GAP_BUCKET = timedelta(days=1)
@@ -38,19 +39,21 @@ def inter_arrival(
     return inside.unionByName(across)
 
 
-def exact_median(values: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def exact_median(values: DataFrame, keys: list[str], value: str, out: str, times: str | None = None) -> DataFrame:
     """``keys, out``: the exact median of non-negative values per group.
 
+    ``times`` names a column that says how often a row's value occurs.
+
     The mean of the middle two when even.  Values are counted, then binned on a logarithmic
     scale; the bins a group can have are bounded (about 11,000 for 64-bit values), so ranking
     them in one task is safe, and only the one or two bins that hold the middle ranks are
     ranked value by value.  A group of any size is therefore spread over its values.
     """
     counts = (
-        values.select(*keys, F.col(value).cast("double").alias("_v"))
+        values.select(*keys, F.col(value).cast("double").alias("_v"), (F.col(times) if times else F.lit(1)).alias("_w"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, F.floor(F.ln(F.col("_v") + 1) * BINS_PER_LOG).alias("_bin"), "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (
@@ -92,15 +95,16 @@ def connection_patterns(events: DataFrame, keys: list[str], ts: str) -> DataFram
         F.count(F.lit(1)).alias("connection_count"),
         F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
     )
-    gaps = inter_arrival(events, keys, ts)
+    # Counted once and written: bounds, median and deviations all read the counts.
+    gaps = cut(inter_arrival(events, keys, ts).groupBy(*keys, "gap_us").agg(F.count(F.lit(1)).alias("_times")))
     bounds = gaps.groupBy(*keys).agg(
         (F.min("gap_us") / 1e6).alias("min_interval"), (F.max("gap_us") / 1e6).alias("max_interval")
     )
-    medians = exact_median(gaps, keys, "gap_us", "_median")
+    medians = exact_median(gaps, keys, "gap_us", "_median", "_times")
     spread = gaps.join(medians, keys).select(
-        *keys, F.abs(F.col("gap_us") - F.col("_median")).alias("_dev")
+        *keys, F.abs(F.col("gap_us") - F.col("_median")).alias("_dev"), "_times"
     )
-    mads = exact_median(spread, keys, "_dev", "_mad")
+    mads = exact_median(spread, keys, "_dev", "_mad", "_times")
     out = counted.join(bounds, keys, "left").join(medians, keys, "left").join(mads, keys, "left")
     n_gaps = F.col("connection_count") - 1
     out = out.select(
@@ -129,11 +133,11 @@ def is_regular() -> Column:
 def support_note() -> Column:
     n, gaps = F.col("connection_count").cast("string"), F.col("interarrival_count")
     return (
-        F.when(gaps == 0, "a single connection provides no interval to measure")
+        F.when(gaps == 0, "one connection has no gap")
         .when(
             gaps < MIN_INTERVALS,
-            F.concat(n, F.lit(" connections give only "), gaps.cast("string"),
-                     F.lit(" interval(s), too few to characterise timing")),
+            F.concat(n, F.lit(" connections, only "), gaps.cast("string"),
+                     F.lit(" gap(s): not enough to tell a rhythm")),
         )
-        .otherwise(F.concat(n, F.lit(" connections give "), gaps.cast("string"), F.lit(" intervals")))
+        .otherwise(F.concat(n, F.lit(" connections, "), gaps.cast("string"), F.lit(" gaps")))
     )

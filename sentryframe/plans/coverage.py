@@ -292,9 +292,9 @@ def channel_violations(evidence: DataFrame, tel: Telemetry, rules: list[Rule] |
         cited_rows(evidence, tel), "event_id", "left").join(declared, "rule_id", "left")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     reason = (
-        F.when(F.col("found_in").isNull(), "cited row is not in the telemetry")
-        .when(size("declared") == 0, "rule declares no channels")
-        .when(size("observed") == 0, "row evidences no known channel")
-        .when(~F.arrays_overlap("observed", "declared"), "row is outside the declared channels"))
+        F.when(F.col("found_in").isNull(), "no such row")
+        .when(size("declared") == 0, "no channel declared")
+        .when(size("observed") == 0, "channel of the row unknown")
+        .when(~F.arrays_overlap("observed", "declared"), "channel not declared"))
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
         "rule_id", "event_id", F.coalesce("found_in", F.lit("")).alias("event_type"), "reason")

@@ -147,13 +147,13 @@ def _candidate(rule_id, title, fn) -> Rule:
 # stage -> (v1, v2, the rule v2 became).  Stage names are fixed values.
 CANDIDATES = {
     "1-initial-access": (
-        _candidate("CAND-INITACCESS-v1", "Office document opened by an email client", _document_v1),
-        _candidate("CAND-INITACCESS-v2", "Macro-enabled document opened by an email client", _document_v2),
+        _candidate("CAND-INITACCESS-v1", "Mail program started Office", _document_v1),
+        _candidate("CAND-INITACCESS-v2", "Mail program opened a document that can carry macros", _document_v2),
         "ATH-009",
     ),
     "5-discovery": (
-        _candidate("CAND-DISCOVERY-v1", "Discovery command executed", _discovery_v1),
-        _candidate("CAND-DISCOVERY-v2", "Sequence of discovery commands from one parent process", _discovery_v2),
+        _candidate("CAND-DISCOVERY-v1", "A discovery tool ran", _discovery_v1),
+        _candidate("CAND-DISCOVERY-v2", "Several discovery tools under one parent", _discovery_v2),
         "ATH-010",
     ),
 }

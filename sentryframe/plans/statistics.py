@@ -44,11 +44,17 @@ def _classified(controls: DataFrame) -> DataFrame:
 def window_values(controls: DataFrame, windows=WINDOWS) -> DataFrame:
     """``minutes, statistic, actor, timestamp, value``: the window ending at each qualifying row."""
     rows, parts = _classified(controls), []
-    for window in windows:
-        for name, (where, counted) in _statistics().items():
-            measured = trailing_measure(rows.where(where), ["actor"], "timestamp", window, counted, out="value")
+    for kind in (True, False):  # statistics of distinct values, and of rows
+        chosen = {n: x for n, x in _statistics().items() if bool(x[1]) == kind}
+        marks = F.array_compact(F.array(*[
+            F.when(where, F.struct(F.lit(n).alias("statistic"), (F.col(counted) if counted else F.lit("")).alias("counted")))
+            for n, (where, counted) in chosen.items()]))
+        marked = rows.select("actor", "timestamp", F.inline(marks))
+        for window in windows:
+            measured = trailing_measure(
+                marked, ["statistic", "actor"], "timestamp", window, "counted" if kind else None, out="value")
             parts.append(measured.select(
-                F.lit(int(window.total_seconds() // 60)).alias("minutes"), F.lit(name).alias("statistic"), "actor", "timestamp", "value"))
+                F.lit(int(window.total_seconds() // 60)).alias("minutes"), "statistic", "actor", "timestamp", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

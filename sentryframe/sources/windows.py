@@ -128,9 +128,9 @@ def winlogbeat_rows(parsed: DataFrame) -> dict[str, DataFrame]:
         failure_reason=F.when(success, "").otherwise(_failure(code)))
     bad_time = F.when(F.col("timestamp").isNull(), "unparseable timestamp")
     return {
-        PROCESS: process.withColumn("reason", bad_time.when(F.col("process_name") == "", "process-create event names no image")),
-        NETWORK: network.withColumn("reason", bad_time.when(F.col("remote_ip") == "", "network-connection event names no destination")),
-        LOGON: logon.withColumn("reason", bad_time.when(F.col("user") == "", "logon event names no target account")),
+        PROCESS: process.withColumn("reason", bad_time.when(F.col("process_name") == "", "image missing")),
+        NETWORK: network.withColumn("reason", bad_time.when(F.col("remote_ip") == "", "destination missing")),
+        LOGON: logon.withColumn("reason", bad_time.when(F.col("user") == "", "account missing")),
     }
 
 
@@ -230,11 +230,11 @@ def elastic_rows(parsed: DataFrame) -> dict[str, DataFrame]:
         LOGON, tail(c("TargetUserName")), logon_type=c("logon_type").try_cast("long"), source_ip=_first(c("IpAddress"), c("src_ip_addr")),
         source_device=short(c("WorkstationName")), action=F.when(success, "success").otherwise("failure"),
         failure_reason=F.when(success, "").otherwise(_failure(status)))
-    bad = F.when(c("timestamp").isNull(), "event carries no parseable timestamp").when(c("device") == "", "event names no host")
+    bad = F.when(c("timestamp").isNull(), "no readable time").when(c("device") == "", "host missing")
     return {
-        PROCESS: process.withColumn("reason", bad.when(c("process_name") == "", "process-create event names no image")),
-        NETWORK: network.withColumn("reason", bad.when(c("remote_ip") == "", "network-connection event names no destination")),
-        LOGON: logon.withColumn("reason", bad.when(c("user") == "", "logon event names no target account")),
+        PROCESS: process.withColumn("reason", bad.when(c("process_name") == "", "image missing")),
+        NETWORK: network.withColumn("reason", bad.when(c("remote_ip") == "", "destination missing")),
+        LOGON: logon.withColumn("reason", bad.when(c("user") == "", "account missing")),
     }
 
 

@@ -140,19 +140,19 @@ LSASS_PATTERNS = (
 )
 RECOVERY_PROCEDURES = (
     ("shadow_copy_deletion", r"\bdelete\b[^|;&]{0,40}?\bshadows?\b",
-     "volume shadow copies deleted"),
+     "shadow copies wiped"),
     ("shadow_copy_deletion_wmi", r"\bshadowcopy\b[^|;&]{0,40}?\bdelete\b",
-     "volume shadow copies deleted via WMI"),
+     "WMI call that deletes shadow copies"),
     ("backup_catalog_deletion", r"\bdelete\b[^|;&]{0,40}?\bcatalog\b",
-     "Windows backup catalog deleted"),
+     "catalog of backups wiped"),
     ("backup_deletion", r"\bdelete\b[^|;&]{0,40}?\bsystemstatebackup\b",
-     "Windows system state backups deleted"),
+     "system state backups wiped"),
     ("recovery_environment_disabled", r"\breagentc(\.exe)?\b[^|;&]{0,40}?/disable\b",
-     "Windows Recovery Environment disabled"),
+     "recovery partition switched off"),
     ("boot_recovery_disabled", r"\brecoveryenabled\b\s+no\b",
-     "boot-time recovery disabled"),
+     "no repair at boot"),
     ("boot_failure_policy_ignored", r"\bbootstatuspolicy\b\s+ignoreallfailures\b",
-     "boot failure policy set to ignore all failures"),
+     "boot failures ignored"),
 )
 RECOVERY_ENUMERATION = (
     ("shadow_copy_enumeration", r"\blist\b[^|;&]{0,40}?\bshadows?\b"),
@@ -163,19 +163,19 @@ SECURITY_TOOL_PROCEDURES = (
     ("security_process_killed",
      r"/im\s+\"?(msmpeng|mssense|senseir|csfalconservice|xagt|sentinelagent|"
      r"carbonblack|wazuh-agent)\w*\.exe",
-     "a security product process was terminated"),
+     "protection process killed"),
     ("security_service_stopped",
      r"\bstop\b\s+\"?(windefend|sense|wdnissvc|mpssvc|csagent|sentinelagent|wazuh)\b",
-     "a security service was stopped"),
+     "protection service stopped"),
     ("defender_realtime_disabled", r"-disablerealtimemonitoring\s+\$?true",
-     "Defender real-time monitoring disabled"),
+     "live scanning switched off"),
     ("defender_exclusion_added", r"-exclusion(path|extension|process)\b",
-     "a Defender scanning exclusion was added"),
+     "path or type left out of scans"),
     ("security_service_disabled_registry",
      r"\\(windefend|sense|sentinelagent)\b[^|;&]{0,60}?\bstart\b[^|;&]{0,20}?\b4\b",
-     "a security service was disabled via the registry"),
+     "protection service disabled in the registry"),
     ("firewall_disabled", r"\bfirewall\b[^|;&]{0,60}?\bstate\s+off\b",
-     "the host firewall was turned off"),
+     "local firewall off"),
 )
 ADMIN_SHARE_REDIRECT = r"(?i)\\\\[^\\]+\\(admin\$|c\$|ipc\$)"
 ADMIN_SHARE_REFERENCE = r"(?i)\\\\[^\\\s]+\\(?:ADMIN\$|C\$|IPC\$)"
