@@ -340,12 +340,18 @@ def j20(spark, sf):
     return retrieve.ip_verdict_agreement(net.select("remote_ip", (F.col("remote_port") == 80).alias("corpus_public")))
 
 
-@query("j21_link_diff")
+@query("j21_link_diff", _NODES + """,
+  s AS (SELECT left_id, right_id, gap, unnest([CASE WHEN same_process THEN 'same_process' END, CASE WHEN lineage THEN 'process_lineage' END,
+    CASE WHEN sibling THEN 'sibling_lineage' END, CASE WHEN principal THEN 'shared_principal' END, CASE WHEN device = device_1 THEN 'same_device' END,
+    CASE WHEN u = u_1 THEN 'same_user' END, CASE WHEN gap <= 7200000000 THEN 'temporal_close' ELSE 'temporal_near' END]) AS signal
+    FROM pairs JOIN links ON left_id = id AND right_id = id_1)
+  SELECT left_id, right_id, signal, CASE WHEN gap % 2 = 0 THEN 'lost' ELSE 'gained' END AS change FROM s WHERE signal IS NOT NULL AND gap % 3 <> 0""")
 def j21(spark, sf):
+    """Two sets of links that share every third and hold the others one by one in turn."""
     found, links = _linked(spark, sf)
-    narrow = correlate.link_findings(found.findings, found.evidence, P.telemetry(spark, sf),
-                                     correlate.CorrelationConfig(max_gap=timedelta(hours=6), cross_domain_window=timedelta(hours=6)))
-    return evaluate.link_diff(links, narrow)
+    seen = found.findings.select("finding_id", F.unix_micros("first_seen").alias("us"))
+    apart = links.join(seen.toDF("left_id", "a"), "left_id").join(seen.toDF("right_id", "b"), "right_id").withColumn("gap", F.abs(F.col("b") - F.col("a")))
+    return evaluate.link_diff(apart.where("gap % 3 = 0 OR gap % 2 = 0"), apart.where("gap % 3 = 0 OR gap % 2 <> 0"))
 
 
 @query("j22_case_evidence", _NODES + _GROUPS + """,
@@ -437,11 +443,23 @@ def a32(spark, sf):
         "rule_id", "true_positives", "false_positives", "fp_lookalike", "detected_stages", F.round("precision", 6).alias("precision"), "recall")
 
 
-@query("a33_score_incident")
+@query("a33_score_incident", P.with_tables("process") + f""", {_LABEL_SQL}, {_FOUND},
+  j AS (SELECT f.*, coalesce(malicious, false) AS m, CASE WHEN length(f.device) % 2 = 0 THEN 'likely_benign' ELSE 'suspicious' END = 'likely_benign' AS benign, {_IMAGE} AS image
+    FROM found f JOIN process USING (event_id) LEFT JOIN labels USING (event_id)),
+  t AS (SELECT 'T1059.001' AS t FROM j WHERE rule_id = 'ATH-001' AND image IN ('powershell.exe', 'pwsh.exe') UNION SELECT 'T1569.002' FROM j WHERE rule_id = 'ATH-007')
+  SELECT count(*) AS findings, count(*) FILTER (NOT benign) AS findings_after_triage, count(*) FILTER (NOT m) AS benign_findings,
+    count(*) FILTER (NOT m AND benign) AS benign_identified, count(DISTINCT event_id) FILTER (m) AS malicious_events_surfaced,
+    (SELECT count(DISTINCT event_id) FROM labels WHERE malicious) AS malicious_events_total, count(*) FILTER (m AND benign) AS malicious_called_benign,
+    (SELECT coalesce(string_agg(t, ',' ORDER BY t), '') FROM t) AS techniques_found,
+    (SELECT coalesce(string_agg(x, ',' ORDER BY x), '') FROM (SELECT unnest(['T1059.001', 'T1569.002', 'T1490']) AS x) WHERE x NOT IN (SELECT t FROM t)) AS techniques_missing
+  FROM j""")
 def a33(spark, sf):
-    tel, found = _two_rules(spark, sf)
-    out = evaluate.score_incident(found.findings, found.evidence, triage.assess_findings(found.findings, tel), _labels(spark, sf), ["T1059.001", "T1569.002", "T1490"])
-    return out.select("findings", "malicious_events_surfaced", "malicious_events_total", "malicious_called_benign", joined("techniques_found"), joined("techniques_missing"))
+    _, found = _two_rules(spark, sf)
+    # Dispositions by host name, so that both kinds occur; triage itself has queries of its own.
+    said = found.findings.select("finding_id", F.when(F.length("device") % 2 == 0, "likely_benign").otherwise("suspicious").alias("disposition"))
+    out = evaluate.score_incident(found.findings, found.evidence, said, _labels(spark, sf), ["T1059.001", "T1569.002", "T1490"])
+    return out.select("findings", "findings_after_triage", "benign_findings", "benign_identified", "malicious_events_surfaced", "malicious_events_total",
+                      "malicious_called_benign", joined("techniques_found"), joined("techniques_missing"))
 
 
 _MEMBERS = P.with_tables("process") + f""", {_LABEL_SQL}, {_FOUND},
@@ -485,7 +503,17 @@ def a36(spark, sf):
     return out.where(F.col("measure").isin("events", "hosts", "findings", "findings_by_rule"))
 
 
-@query("a37_detection_report")
+@query("a37_detection_report", P.with_tables("logon", "control", "network", "process") + f""", {_FOUND},
+  u AS (SELECT count(*) FILTER (remote_url <> '') / count(*) AS url FROM network),
+  r(rule_id, input_rows) AS (SELECT unnest(['ATH-001', 'ATH-002', 'ATH-004', 'ATH-007', 'ATH-008', 'ATH-009', 'ATH-010', 'ATH-011', 'ATH-012']), (SELECT count(*) FROM process)
+    UNION ALL SELECT 'ATH-003', (SELECT count(*) FROM network) UNION ALL SELECT unnest(['ATH-005', 'ATH-006']), (SELECT count(*) FROM logon)
+    UNION ALL SELECT unnest(['AWS-001', 'AWS-002', 'AWS-003', 'AWS-004', 'AWS-005', 'AWS-006', 'K8S-001', 'K8S-002']), (SELECT count(*) FROM control)),
+  v AS (SELECT *, CASE WHEN rule_id LIKE 'K8S%' THEN 'unusable' WHEN rule_id = 'ATH-003' AND url < 0.5 THEN 'degraded' ELSE 'usable' END AS verdict FROM r, u),
+  c AS (SELECT f.rule_id, count(*) AS n, max(CASE WHEN f.rule_id = 'ATH-001' OR regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) THEN 3 ELSE 2 END) AS worst
+    FROM found f JOIN process USING (event_id) GROUP BY 1)
+  SELECT rule_id, input_rows, verdict, coalesce(n, 0) AS findings, worst AS severity_rank,
+    CASE WHEN n > 0 THEN '' WHEN verdict = 'unusable' THEN 'a required field or channel is missing' ELSE 'input was usable and nothing matched' END AS zero_reason
+  FROM v LEFT JOIN c USING (rule_id)""")
 def a37(spark, sf):
     from ..plans import coverage
 

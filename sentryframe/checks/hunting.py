@@ -12,7 +12,7 @@ from ..plans import rules
 from ..plans.hunt import run_hunt, triage_order
 from ..plans.rules import REGISTRY, HuntConfig
 from . import projection as P
-from .registry import joined, query, us
+from .registry import ORACLES, joined, query, us
 
 H = 3_600_000_000  # an hour in microseconds
 
@@ -527,7 +527,26 @@ def endpoint_hunt(spark, sf, **kwargs):
     return run_hunt(P.telemetry(spark, sf, rbac=True), config=CONFIG, **kwargs)
 
 
-@query("d23_run_hunt_counts")
+#: The query that states each rule alone.
+_BY_RULE = {
+    "ATH-001": "d01_office_spawns_interpreter", "ATH-002": "d02_encoded_powershell", "ATH-003": "d03_interpreter_egress",
+    "ATH-004": "d04_lsass_access", "ATH-005": "d05_brute_force", "ATH-006": "d06_foreign_host_logon",
+    "ATH-007": "d07_remote_service_execution", "ATH-008": "d08_archive_staging", "ATH-009": "d09_macro_attachment",
+    "ATH-010": "d10_discovery_sequence", "ATH-011": "d11_recovery_inhibition", "ATH-012": "d12_security_tool_tampering",
+    "AWS-001": "d13_iam_escalation_chain", "AWS-002": "d14_audit_log_disabled", "AWS-003": "d15_service_discovery_burst",
+    "AWS-004": "d16_denial_burst", "AWS-005": "d17_authority_removed", "AWS-006": "d18_rejected_changes",
+    "K8S-001": "d19_rbac_escalation", "K8S-002": "d20_exec_after_grant",
+}
+
+
+def _all_rules_sql() -> str:
+    parts = [
+        f"SELECT '{rule}' AS rule_id, severity, count(*) AS findings, sum(evidence_count)::BIGINT AS evidence FROM ({ORACLES[name]}) GROUP BY severity"
+        for rule, name in _BY_RULE.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("d23_run_hunt_counts", _all_rules_sql())
 def d23(spark, sf):
     found = endpoint_hunt(spark, sf).findings
     return found.groupBy("rule_id", "severity").agg(

@@ -278,11 +278,16 @@ def a18(spark, sf):
 
 
 @query("j18_channel_violations", P.with_tables("control") + """
-  SELECT rule_id, event_id, event_type, reason FROM (SELECT 'x' AS rule_id, 'x' AS event_id, 'x' AS event_type, 'x' AS reason FROM control) WHERE false""")
+  SELECT 'ATH-001' AS rule_id, event_id, 'control' AS event_type, 'channel not declared' AS reason FROM control WHERE resource_type LIKE 'cloudtrail:%' AND verb IN ('stop', 'delete')
+  UNION ALL SELECT 'AWS-002', 'gone' || event_id, '', 'no such row' FROM control WHERE resource_type LIKE 'cloudtrail:%' AND verb IN ('stop', 'delete')""")
 def j18(spark, sf):
+    """Rules that cite their own rows, one that cites another's channel, and rows that do not exist."""
     tel = P.telemetry(spark, sf, rbac=True)
-    found = hunt.run_hunt(tel, ["ATH-001", "ATH-003", "ATH-007", "ATH-011", "AWS-002", "K8S-001"], CONFIG)
-    return coverage.channel_violations(found.evidence, tel)
+    cited = hunt.run_hunt(tel, ["ATH-001", "ATH-003", "ATH-007", "ATH-011", "AWS-002", "K8S-001"], CONFIG).evidence
+    trail = cited.where("rule_id = 'AWS-002'")
+    foreign = trail.withColumn("rule_id", F.lit("ATH-001"))
+    gone = trail.withColumn("event_id", F.concat(F.lit("gone"), "event_id"))
+    return coverage.channel_violations(cited.unionByName(foreign).unionByName(gone), tel)
 
 
 # ------------------------------------------------------------------ T, M
@@ -352,10 +357,15 @@ def m01_office(spark, sf):
     return techniques.map_techniques(found).select("finding_id", "technique_id", "confidence")
 
 
-@query("m02_unknown_techniques", P.with_tables("process") + " SELECT 'x' AS technique_id FROM process WHERE false")
+@query("m02_unknown_techniques", P.with_tables("network") + """
+  SELECT DISTINCT 'T9' || (remote_port % 7) AS technique_id FROM network WHERE remote_port IS NOT NULL""")
 def m02(spark, sf):
-    found = hunt.run_hunt(P.telemetry(spark, sf), ["ATH-001", "ATH-003", "ATH-011"], CONFIG).findings
-    return techniques.unknown_techniques(techniques.map_techniques(found))
+    """Techniques of real findings are known; made-up ids beside them are not."""
+    tel = P.telemetry(spark, sf)
+    found = techniques.map_techniques(hunt.run_hunt(tel, ["ATH-001", "ATH-003", "ATH-011"], CONFIG).findings)
+    made = tel.network.where("remote_port IS NOT NULL").select(
+        F.concat(F.lit("T9"), (F.col("remote_port") % 7).cast("string")).alias("technique_id"))
+    return techniques.unknown_techniques(found.select("technique_id").unionByName(made))
 
 
 @query("m03_tactics_by_rule", P.with_tables("process") + f"""
@@ -438,7 +448,16 @@ def c10(spark, sf):
                       correlate.explain_case().alias("explanation"))
 
 
-@query("c12_case_timeline")
+@query("c12_case_timeline", _NODES + _GROUPS + f""",
+  g AS (SELECT component, min((us, rule, id)) AS first, count(*) AS n, max(sev) AS sev FROM nodes JOIN comp USING (id) GROUP BY 1),
+  k AS (SELECT component, row_number() OVER (ORDER BY first) AS i FROM g WHERE n >= 2 OR sev >= 3),
+  img AS (SELECT event_id, {_IMAGE} AS image, regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) AS redirect FROM process)
+  SELECT 'CASE-' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS case_id, us AS "timestamp", id AS finding_id,
+    rule AS rule_id, ['low', 'medium', 'high', 'critical'][sev] AS severity,
+    array_to_string(list_sort(list_filter(CASE rule
+      WHEN 'ATH-001' THEN ['T1204.002', CASE WHEN image IN ('powershell.exe', 'pwsh.exe') THEN 'T1059.001' END, CASE WHEN image = 'cmd.exe' THEN 'T1059.003' END]
+      WHEN 'ATH-007' THEN ['T1569.002', CASE WHEN redirect THEN 'T1021.002' END] ELSE ['T1685'] END, lambda t: t IS NOT NULL)), ',') AS techniques
+  FROM k JOIN comp USING (component) JOIN nodes USING (id) LEFT JOIN img ON event_id = split_part(id, ':', 2)""")
 def c12(spark, sf):
     found, links = _linked(spark, sf)
     members = correlate.group_cases(found.findings, links, config=_LINK_CONFIG)
