@@ -151,6 +151,22 @@ def a30(spark, sf):
     return retrieve.resource_history(P.controls(P.events(spark, sf)))
 
 
+def _span_sql(keys):
+    return P.with_tables("control") + f" SELECT {keys}, count(*) AS rows, min(us) AS first_seen, max(us) AS last_seen, (max(us) - min(us)) / 1e6 AS span_seconds FROM control GROUP BY {keys}"
+
+
+@query("a29_actor_span", _span_sql("actor"))
+def a29_span(spark, sf):
+    out = retrieve.history_span(P.controls(P.events(spark, sf)), ["actor"])
+    return out.select("actor", "rows", us("first_seen"), us("last_seen"), "span_seconds")
+
+
+@query("a30_resource_span", _span_sql("resource_type, resource_name, resource_namespace"))
+def a30_span(spark, sf):
+    keys = ["resource_type", "resource_name", "resource_namespace"]
+    return retrieve.history_span(P.controls(P.events(spark, sf)), keys).select(*keys, "rows", us("first_seen"), us("last_seen"), "span_seconds")
+
+
 @query("a31_identity_grants", P.with_tables("rbac") + """,
   g AS (SELECT target_actor AS identity, event_id, us FROM rbac WHERE verb = 'create' AND resource_type IN ('rolebindings', 'clusterrolebindings') AND target_actor <> ''),
   f AS (SELECT identity, min(us) AS first FROM g GROUP BY 1)
@@ -494,13 +510,16 @@ def a35(spark, sf):
 
 
 @query("a36_dataset_profile", P.with_tables("logon", "control", "network", "process") + f""", {_FOUND},
-  e AS (SELECT device, us FROM logon UNION ALL SELECT device, us FROM control UNION ALL SELECT device, us FROM network UNION ALL SELECT device, us FROM process)
-  SELECT 'events' AS measure, '' AS key, count(*)::DOUBLE AS value FROM e UNION ALL SELECT 'hosts', '', count(DISTINCT device) FROM e
-  UNION ALL SELECT 'findings', '', count(*) FROM found UNION ALL SELECT 'findings_by_rule', rule_id, count(*) FROM found GROUP BY rule_id""")
+  e AS (SELECT device, us FROM logon UNION ALL SELECT device, us FROM control UNION ALL SELECT device, us FROM network UNION ALL SELECT device, us FROM process),
+  t AS (SELECT count(*)::DOUBLE AS events, count(DISTINCT nullif(device, ''))::DOUBLE AS hosts, (max(us) - min(us)) / 86400000000 AS days, (SELECT count(*)::DOUBLE FROM found) AS n FROM e),
+  g AS (SELECT CASE WHEN f.rule_id = 'ATH-001' OR regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) THEN 'high' ELSE 'medium' END AS severity FROM found f JOIN process USING (event_id))
+  SELECT 'events' AS measure, '' AS key, events AS value FROM t UNION ALL SELECT 'hosts', '', hosts FROM t UNION ALL SELECT 'findings', '', n FROM t
+  UNION ALL SELECT 'days', '', days FROM t UNION ALL SELECT 'findings_per_day', '', n / days FROM t UNION ALL SELECT 'findings_per_host_day', '', n / days / hosts FROM t
+  UNION ALL SELECT 'findings_by_rule', rule_id, count(*) FROM found GROUP BY rule_id UNION ALL SELECT 'findings_by_severity', severity, count(*) FROM g GROUP BY severity
+  UNION ALL SELECT 'cases', '', count(DISTINCT device) FROM found""")
 def a36(spark, sf):
     tel, found = _two_rules(spark, sf)
-    out = evaluate.dataset_profile(tel, found.findings)
-    return out.where(F.col("measure").isin("events", "hosts", "findings", "findings_by_rule"))
+    return evaluate.dataset_profile(tel, found.findings, cases=_host_cases(found.findings))
 
 
 @query("a37_detection_report", P.with_tables("logon", "control", "network", "process") + f""", {_FOUND},
@@ -534,10 +553,22 @@ def a38(spark, sf):
     return evaluate.capture_recall(found.evidence, captures, techniques.map_techniques(found.findings), labels)
 
 
-@query("a39_background_volume", P.with_tables("process") + f""", {_FOUND}
-  SELECT rule_id, count(*) AS episodes, count(DISTINCT "user") AS actors, count(DISTINCT us // 86400000000) AS days FROM found GROUP BY rule_id""")
+@query("a39_background_volume", P.with_tables("logon", "control", "network", "process") + f""", {_FOUND},
+  e AS (SELECT us FROM logon UNION ALL SELECT us FROM control UNION ALL SELECT us FROM network UNION ALL SELECT us FROM process),
+  t AS (SELECT greatest(1.0, (max(us) - min(us)) / 86400000000) AS span_days FROM e),
+  g AS (SELECT f.*, f.rule_id = 'ATH-001' OR regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) AS high FROM found f JOIN process USING (event_id))
+  SELECT rule_id, count(*) AS episodes, count(DISTINCT "user") AS actors, count(DISTINCT us // 86400000000) AS days, 0 AS low, count(*) FILTER (NOT high) AS medium,
+    count(*) FILTER (high) AS high, 0 AS critical, any_value(span_days) AS span_days, count(*) / any_value(span_days) AS per_day FROM g, t GROUP BY rule_id""")
 def a39(spark, sf):
-    return evaluate.background_volume(_two_rules(spark, sf)[1].findings).select("rule_id", "episodes", "actors", "days")
+    tel, found = _two_rules(spark, sf)
+    return evaluate.background_volume(found.findings, tel)
+
+
+@query("a39_volume_change", P.with_tables("process") + f""", {_FOUND}
+  SELECT rule_id, count(*) AS before, count(*) FILTER (device <> 'H1') AS after FROM found GROUP BY rule_id""")
+def a39_change(spark, sf):
+    findings = _two_rules(spark, sf)[1].findings
+    return evaluate.volume_change(findings, findings.where("device <> 'H1'"))
 
 
 @query("a44_findings_per_actor", P.with_tables("process") + f""", {_FOUND}
@@ -634,6 +665,12 @@ def a48(spark, sf):
     return evaluate.case_summary(members, found.findings)
 
 
+@query("a48_case_sizes", _MIXED + """, c AS (SELECT device, count(*) AS n FROM m GROUP BY 1)
+  SELECT n AS size, count(*) AS cases FROM c GROUP BY 1""")
+def a48_sizes(spark, sf):
+    return evaluate.case_sizes(_mixed(spark, sf)[1])
+
+
 @query("a49_case_disposition", _EGRESS + """, x AS (SELECT f.*, split_part(finding_id, ':', 2) AS e FROM f)
   SELECT 'C-' || device AS case_id, CASE WHEN bool_or(clear OR n >= 5) THEN 'malicious' ELSE 'abstain' END AS disposition FROM x JOIN network ON e = event_id GROUP BY device""")
 def a49(spark, sf):

@@ -79,6 +79,7 @@ def latest_verdict(log: DataFrame) -> DataFrame:
     return log.groupBy("finding_id").agg(newest.alias("v")).select("finding_id", "v.*")
 
 
+SEVERITY_NAMES = ("low", "medium", "high", "critical")
 THREAT = "true_positive"
 
 
@@ -199,8 +200,11 @@ def incident_match(anchors: DataFrame, members: DataFrame, evidence: DataFrame)
 # ---------------------------------------------------------------- A36-A39
 
 
-def dataset_profile(tel: Telemetry, findings: DataFrame, assessments: DataFrame | None = None) -> DataFrame:
-    """``measure, key, value``: volumes, findings and their daily and per-host rates."""
+def dataset_profile(
+    tel: Telemetry, findings: DataFrame, assessments: DataFrame | None = None, cases: DataFrame | None = None,
+    links: DataFrame | None = None,
+) -> DataFrame:
+    """``measure, key, value``: volumes, findings, cases and links, daily and per-host rates."""
     rows = reduce(DataFrame.unionByName, [
         df.groupBy("device", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n")) for df in tel.tables().values()])
     hours = reduce(DataFrame.unionByName, [
@@ -220,6 +224,11 @@ def dataset_profile(tel: Telemetry, findings: DataFrame, assessments: DataFrame
     parts = [flat, count(findings, "findings_by_rule", "rule_id"), count(findings, "findings_by_severity", "severity")]
     if assessments is not None:
         parts.append(count(assessments, "dispositions", "disposition"))
+    total = lambda df, m, c: df.agg(c.cast("double").alias("value")).select(F.lit(m).alias("measure"), F.lit("").alias("key"), "value")
+    if cases is not None:
+        parts.append(total(cases, "cases", F.countDistinct("case_id")))
+    if links is not None:
+        parts.append(total(links, "links", F.count(F.lit(1))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -247,14 +256,28 @@ def capture_recall(evidence: DataFrame, captures: DataFrame, mapped: DataFrame,
         F.col("findings").isNotNull().alias("caught"), F.col("_t").isNotNull().alias("caught_as_labelled"))
 
 
-def background_volume(findings: DataFrame) -> DataFrame:
-    """Episodes, actors, days and daily rate per rule on a background corpus."""
+def telemetry_days(tel: Telemetry) -> DataFrame:
+    """``span_days``: the telemetry's own span, one day at least; one row."""
+    bounds = reduce(DataFrame.unionByName, [
+        df.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")) for df in tel.tables().values()])
+    span = (F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo"))) / 86_400_000_000
+    return bounds.agg(F.greatest(F.lit(1.0), F.coalesce(span, F.lit(1.0))).alias("span_days"))
+
+
+def background_volume(findings: DataFrame, tel: Telemetry) -> DataFrame:
+    """Episodes by severity, actors, days and rate per day of telemetry, of each rule."""
     actor = F.coalesce(F.nullif(F.col("actor"), F.lit("")), F.col("user"))
-    span = (F.unix_micros(F.max("last_seen")) - F.unix_micros(F.min("first_seen"))) / 86_400_000_000
+    graded = [F.count_if(F.col("severity") == name).alias(name) for name in SEVERITY_NAMES]
     return findings.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("episodes"), F.countDistinct(actor).alias("actors"),
-        F.countDistinct(F.to_date("first_seen")).alias("days"), span.alias("span_days")
-    ).withColumn("per_day", F.when(F.col("span_days") > 0, F.col("episodes") / F.col("span_days")))
+        F.countDistinct(F.to_date("first_seen")).alias("days"), *graded,
+    ).withColumn("span_days", telemetry_days(tel).scalar()).withColumn("per_day", F.col("episodes") / F.col("span_days"))
+
+
+def volume_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``rule_id, before, after``: findings of each rule in two runs."""
+    count = lambda df, name: df.groupBy("rule_id").agg(F.count(F.lit(1)).alias(name))
+    return count(before, "before").join(count(after, "after"), "rule_id", "full_outer").fillna(0, ["before", "after"])
 
 
 def top_finding_actors(findings: DataFrame, top: int = 10) -> DataFrame:
@@ -338,6 +361,18 @@ def case_summary(members: DataFrame, findings: DataFrame) -> DataFrame:
         F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.count_if(F.size("domains") >= 2).alias("multi_domain"))
 
 
+def case_sizes(members: DataFrame) -> DataFrame:
+    """``size, cases``: how many cases hold how many findings."""
+    return members.groupBy("case_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def case_signals(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``case_id, signal, links``: links inside each case by signal."""
+    side = members.select("case_id", F.col("finding_id").alias("left_id"))
+    return links.select("left_id", F.explode("signals").alias("s")).join(side, "left_id").groupBy(
+        "case_id", F.col("s.signal").alias("signal")).agg(F.count(F.lit(1)).alias("links"))
+
+
 def case_disposition(members: DataFrame, assessments: DataFrame) -> DataFrame:
     """Malicious if any finding is likely malicious, benign if all are likely benign."""
     d = F.col("disposition")
@@ -404,18 +439,29 @@ def sample_controls(processes: DataFrame, n: int, seed: int = 0, admin: Column |
     return take(dealt.where("is_admin"), wanted_admin).unionByName(take(dealt.where(~F.col("is_admin")), n - wanted_admin)).drop("_round", "_h")
 
 
+def _numbered(df: DataFrame, ts: str, tie: str) -> DataFrame:
+    """Adds ``_n``, the place of each row by time: ranked day by day, on the rows of the days before."""
+    day = F.to_date(ts).alias("_d")
+    before = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(day).agg(F.count(F.lit(1)).alias("_c")).select(
+        F.col("_d").alias("_day"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_d").orderBy(ts, tie)) - 1
+    placed = df.withColumn("_d", F.to_date(ts)).withColumn("_i", inside)
+    return placed.join(offsets, F.col("_d").eqNullSafe(F.col("_day"))).withColumn("_n", F.col("_i") + F.col("_before")).drop(
+        "_d", "_day", "_i", "_before")
+
+
 def match_windows(cases: DataFrame, controls: DataFrame, coverage: DataFrame) -> DataFrame:
     """Give each control its partner's duration and offset, kept inside the day's coverage.
 
     ``cases``: ``case_id, seed_time, start, end``; ``controls``: ``event_id, timestamp``;
-    ``coverage``: ``day, lo, hi``.  Pairs by order, cases repeating when controls outnumber
-    them.
+    ``coverage``: ``day, lo, hi``.  Pairs by time and id, cases repeating when controls
+    outnumber them; without cases there are no pairs.
     """
-    rank = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)) - 1)
-    partners = rank(cases, "case_id").withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    size = cases.agg(F.count(F.lit(1))).scalar()
+    size = F.nullif(cases.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     us = F.unix_micros
-    paired = rank(controls, "timestamp", "event_id").withColumn("_n", F.col("_n") % size).join(partners, "_n")
+    paired = _numbered(controls, "timestamp", "event_id").withColumn("_n", F.col("_n") % size).join(
+        _numbered(cases, "seed_time", "case_id"), "_n")
     begin = us("timestamp") - (us("seed_time") - us("start"))
     finish = begin + (us("end") - us("start"))
     placed = paired.withColumn("day", F.to_date("timestamp")).withColumn("_b", begin).withColumn("_e", finish).join(coverage, "day")

@@ -131,6 +131,13 @@ def actor_history(controls: DataFrame) -> DataFrame:
     return _counts(controls, ["actor"], ("verb", "resource_type", "decision", "source_ip"))
 
 
+def history_span(controls: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, rows, first_seen, last_seen, span_seconds`` of each actor or object."""
+    return controls.groupBy(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 1e6).alias("span_seconds"))
+
+
 def resource_history(controls: DataFrame) -> DataFrame:
     """Actors, verbs and results of each object, counted."""
     return _counts(controls, ["resource_type", "resource_name", "resource_namespace"], ("actor", "verb", "decision"))
