@@ -84,7 +84,7 @@ def w01(spark, sf):
 def w01_hot(spark, sf):
     """The path taken by keys with very many qualifying instants, forced for every key."""
     fail = P.logons(P.events(spark, sf)).where("action = 'failure'")
-    return episodes.episodes(fail, ["user"], "timestamp", 5, timedelta(hours=72), fold_limit=0)
+    return episodes.episodes(fail, ["user"], "timestamp", 5, timedelta(hours=72))
 
 
 @query("w01_episodes_all_actions_1h", P.with_tables("control", recursive=True) + """,

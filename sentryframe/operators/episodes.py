@@ -10,11 +10,11 @@ otherwise step to the next event.  Two facts turn that into a distributed job.
     sweep is "take the first, then repeatedly the first one later than the last taken plus
     the window", which needs one remembered instant.
 
-A gap longer than the window between consecutive qualifying instants always restarts the
-sweep, so it is folded per run between such gaps.  A key whose qualifying instants are too
-many for one fold takes the bucketed path: each bucket turns into a monotone step function
-(last start before the bucket -> last start inside it), the few steps are chained per key,
-and every bucket then replays with the start it was handed.
+A key is never swept whole.  Its qualifying instants are cut into time buckets; each bucket
+turns into a monotone step function (last start before the bucket -> last start inside it),
+the few steps are chained per key, and every bucket then replays with the start it was
+handed.  The three steps stream over sorted rows: a task holds one bucket at a time.  Every
+key takes this way, whatever its size, and nothing runs while the plan is made.
 """
 
 from __future__ import annotations
@@ -28,12 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import micros
-from .lineage_cut import cut
 from .buckets import BUCKET, OWN, US, WINDOWS_PER_BUCKET, bucket_of, own_bucket, with_halo
 
-# Qualifying instants one key may fold in a single task; beyond it the key is bucketed.
-FOLD_LIMIT = 50_000
-# Windows per bucket on the bucketed path: wide buckets merge most steps before chaining.
+# Windows per bucket of the chain: wide buckets merge most steps before chaining.
 CHAIN_WINDOWS = 64
 
 START, END_BOUND = "start_us", "bound_us"
@@ -60,24 +57,47 @@ def qualifying_starts(
     )
 
 
-def _fold_runs(starts: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Greedy picks of keys small enough to fold, run by run, inside the JVM."""
-    order = Window.partitionBy(*keys).orderBy(START)
-    gap = F.col(START) - F.lag(START).over(order)
-    new_run = F.when(gap.isNull() | (gap > span), 1).otherwise(0)
-    runs = starts.withColumn("_new", new_run).withColumn("_run", F.sum("_new").over(order))
-    folded = runs.groupBy(*keys, "_run").agg(
-        F.array_sort(F.collect_list(START)).alias("_starts")
-    )
-    picks = F.aggregate(
-        "_starts",
-        F.expr("CAST(array() AS array<bigint>)"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t > F.element_at(acc, -1) + F.lit(span)),
-            F.concat(acc, F.array(t)),
-        ).otherwise(acc),
-    )
-    return folded.select(*keys, F.explode(picks).alias(START))
+def _streamed(df: DataFrame, groups: list[str], values: list[str], make, schema: T.StructType) -> DataFrame:
+    """Each group of rows, sorted by ``values``, through ``make(values as arrays) -> columns``.
+
+    Rows are dealt by group and sorted, so a task holds the group at hand and no other.
+    ``make`` gives the columns that ``schema`` has after the group's own.
+    """
+    added = [f.name for f in schema.fields if f.name not in groups]
+
+    def finish(parts):
+        arrays = [np.concatenate([p[v].to_numpy() for p in parts]) for v in values]
+        head = parts[0].iloc[0]
+        made = make({g: head[g] for g in groups}, *arrays)
+        n = len(made[0])
+        columns = {g: pd.Series([head[g]] * n, dtype=parts[0][g].dtype) for g in groups if g in schema.names}
+        return pd.DataFrame({**columns, **dict(zip(added, made))})[schema.names]
+
+    def run(batches):
+        parts: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for g in groups:
+                column = pdf[g].to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            new[0] = bool(parts) and any(parts[0][g].iloc[0] != pdf[g].iloc[0] for g in groups)
+            bounds = [0, *np.flatnonzero(new), len(pdf)]
+            out = []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if lo < len(pdf) and new[lo] and parts:
+                    out.append(finish(parts))
+                    parts = []
+                if hi > lo:
+                    parts.append(pdf.iloc[lo:hi])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if parts:
+            yield finish(parts)
+
+    dealt = df.select(*groups, *values).repartition(*[F.col(g) for g in groups]).sortWithinPartitions(*groups, *values)
+    return dealt.mapInPandas(run, schema)
 
 
 def _last_pick(starts: np.ndarray, span: int) -> np.ndarray:
@@ -92,109 +112,57 @@ def _last_pick(starts: np.ndarray, span: int) -> np.ndarray:
         root = further
 
 
-def _repeat_keys(pdf: pd.DataFrame, keys: list[str], n: int) -> dict:
-    """The group's key values, ``n`` times, as plain object columns."""
-    return {k: pd.Series([pdf[k].iloc[0]] * n, dtype=object) for k in keys}
-
-
-def _chain_hot(starts: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Greedy picks of keys with very many qualifying instants, bucket by bucket."""
+def _picks(starts: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """The greedy picks of every key, bucket by bucket."""
     width = span * CHAIN_WINDOWS
-    schema = starts.select(*keys).schema
+    own = list(starts.select(*keys).schema.fields)
+    long = lambda *names: T.StructType([*own, *(T.StructField(n, T.LongType()) for n in names)])
     placed = starts.withColumn(BUCKET, bucket_of(F.col(START), width))
 
-    steps_schema = T.StructType(
-        list(schema.fields)
-        + [
-            T.StructField(BUCKET, T.LongType()),
-            T.StructField("_entry", T.LongType()),
-            T.StructField("_exit", T.LongType()),
-        ]
-    )
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf[START].to_numpy())
-        begin = int(pdf[BUCKET].iloc[0]) * width
+    def steps(group, us):
+        begin = int(group[BUCKET]) * width
         # A start taken before the bucket reaches less than one window into it, so the
         # sweep enters at an instant up to there or at the first one beyond.
         entries = us[: np.searchsorted(us, begin + span, side="right") + 1]
         exits = _last_pick(us, span)[: len(entries)]
         keep = np.r_[exits[1:] != exits[:-1], True]  # last entry leading to each exit
-        return pd.DataFrame(
-            {**_repeat_keys(pdf, keys, int(keep.sum())), BUCKET: int(pdf[BUCKET].iloc[0]),
-             "_entry": entries[keep], "_exit": exits[keep]}
-        )
-
-    chain_schema = T.StructType(
-        list(schema.fields)
-        + [T.StructField(BUCKET, T.LongType()), T.StructField("_after", T.LongType())]
-    )
+        return entries[keep], exits[keep]
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([BUCKET, "_entry"], kind="stable")
-        buckets = pdf[BUCKET].to_numpy()
-        entries, exits = pdf["_entry"].to_numpy(), pdf["_exit"].to_numpy()
+    def chain(group, buckets, entries, exits):
         bounds = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
         ends = np.r_[bounds[1:], len(buckets)]
-        last, rows = -(2**62), []
+        last, after = -(2**62), []
         for lo, hi in zip(bounds, ends):
-            after = last + span
-            rows.append((int(buckets[lo]), after))
+            after.append(last + span)
             # First entry later than the reach of the last start taken.
-            at = lo + np.searchsorted(entries[lo:hi], after, side="right")
+            at = lo + np.searchsorted(entries[lo:hi], last + span, side="right")
             if at < hi:
                 last = int(exits[at])
-        return pd.DataFrame(
-            {**_repeat_keys(pdf, keys, len(rows)), BUCKET: [r[0] for r in rows], "_after": [r[1] for r in rows]}
-        )
+        return buckets[bounds], np.array(after, np.int64)
 
-    picks_schema = T.StructType(list(schema.fields) + [T.StructField(START, T.LongType())])
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, after = np.sort(pdf[START].to_numpy()), int(pdf["_after"].iloc[0])
-        picked, at = [], np.searchsorted(us, after, side="right")
+    def replay(group, after, us):
+        picked, at = [], np.searchsorted(us, after[0], side="right")
         while at < len(us):
             picked.append(int(us[at]))
             at = np.searchsorted(us, us[at] + span, side="right")
-        return pd.DataFrame(
-            {**_repeat_keys(pdf, keys, len(picked)), START: pd.Series(picked, dtype="int64")}
-        )
+        return (np.array(picked, np.int64),)
 
-    entered = (
-        placed.groupBy(*keys, BUCKET).applyInPandas(steps, steps_schema)
-        .groupBy(*keys).applyInPandas(chain, chain_schema)
-    )
+    stepped = _streamed(placed, [*keys, BUCKET], [START], steps, long(BUCKET, "_entry", "_exit"))
+    entered = _streamed(stepped, keys, [BUCKET, "_entry", "_exit"], chain, long(BUCKET, "_after"))
     joined = placed.join(entered, [*keys, BUCKET])
-    return joined.groupBy(*keys, BUCKET).applyInPandas(replay, picks_schema)
+    return _streamed(joined, [*keys, BUCKET], ["_after", START], replay, long(START))
 
 
 def episode_starts(
-    events: DataFrame,
-    keys: list[str],
-    ts: str,
-    min_events: int,
-    window: timedelta,
-    fold_limit: int = FOLD_LIMIT,
+    events: DataFrame, keys: list[str], ts: str, min_events: int, window: timedelta
 ) -> DataFrame:
     """One row per episode: keys, ``start_us`` and ``bound_us`` (start plus window).
 
-    Key columns must not be null (canonical strings never are).  The qualifying instants are
-    written once to the checkpoint folder: they are few next to the events, every later step
-    reads them, and whether any key needs the bucketed path is decided from them.
+    Key columns must not be null (canonical strings never are).
     """
     span = micros(window)
-    starts = cut(qualifying_starts(events, keys, ts, min_events, window))
-    hot = (
-        starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > fold_limit).select(*keys)
-    )
-    if not hot.limit(1).collect():
-        picked = _fold_runs(starts, keys, span)
-    else:
-        picked = _fold_runs(starts.join(hot, keys, "left_anti"), keys, span).unionByName(
-            _chain_hot(starts.join(hot, keys, "left_semi"), keys, span)
-        )
-    return picked.withColumn(END_BOUND, F.col(START) + F.lit(span))
+    starts = qualifying_starts(events, keys, ts, min_events, window)
+    return _picks(starts, keys, span).withColumn(END_BOUND, F.col(START) + F.lit(span))
 
 
 def episode_events(
@@ -203,7 +171,6 @@ def episode_events(
     ts: str,
     min_events: int,
     window: timedelta,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """The events of every episode, each with the ``start_us`` of the one it belongs to.
 
@@ -212,7 +179,7 @@ def episode_events(
     an event matches at most one episode.
     """
     width = micros(window) * WINDOWS_PER_BUCKET
-    found = episode_starts(events, keys, ts, min_events, window, fold_limit).withColumn(
+    found = episode_starts(events, keys, ts, min_events, window).withColumn(
         BUCKET,
         F.explode(
             F.sequence(bucket_of(F.col(START), width), bucket_of(F.col(END_BOUND), width))
@@ -233,10 +200,9 @@ def episodes(
     min_events: int,
     window: timedelta,
     aggregates: list | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """One row per episode: keys, ``start_us``, ``end_us``, ``n`` and extra aggregates."""
-    rows = episode_events(events, keys, ts, min_events, window, fold_limit)
+    rows = episode_events(events, keys, ts, min_events, window)
     return rows.groupBy(*keys, START).agg(
         F.max(US).alias("end_us"), F.count(F.lit(1)).alias("n"), *(aggregates or [])
     )

@@ -41,16 +41,38 @@ def sweep(times, minimum, window):
     return out
 
 
-@pytest.mark.parametrize("minimum,window,limit,parts", [
-    (3, 10, 50_000, 8), (3, 10, 0, 3), (1, 60, 0, 8), (5, 600, 1, 1), (4, 60, 5, 8), (2, 1, 0, 8)])
-def test_episodes(events, minimum, window, limit, parts):
+@pytest.mark.parametrize("minimum,window,parts", [(3, 10, 8), (3, 10, 3), (1, 60, 8), (5, 600, 1), (4, 60, 8), (2, 1, 8)])
+def test_episodes(events, minimum, window, parts):
     df, by_key = events
     want = {(k, *e) for k, v in by_key.items() for e in sweep([s for s, _, _ in v], minimum, window)}
     shuffled = df.orderBy(F.rand(1)).repartition(parts)
-    got = episodes.episodes(shuffled, ["k"], "ts", minimum, timedelta(seconds=window), fold_limit=limit)
+    got = episodes.episodes(shuffled, ["k"], "ts", minimum, timedelta(seconds=window))
     assert {(r.k, r.start_us // 10**6, r.end_us // 10**6, r.n) for r in got.collect()} == want
 
 
+def test_episodes_of_a_key_with_a_third_of_the_rows(spark):
+    rows = spark.range(0, 60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 997 + 1).alias("k"),
+        F.timestamp_seconds(F.col("id") * 7 % 50_000).alias("ts"))
+    got = {(r.k, r.start_us // 10**6, r.end_us // 10**6, r.n) for r in episodes.episodes(rows, ["k"], "ts", 4, timedelta(seconds=30)).collect()}
+    by_key = {}
+    for i in range(60_000):
+        by_key.setdefault(0 if i % 3 == 0 else i % 997 + 1, []).append(i * 7 % 50_000)
+    assert got == {(k, *e) for k, v in by_key.items() for e in sweep(sorted(v), 4, 30)}
+
+
+def test_no_job_runs_while_a_hunt_is_planned(spark):
+    from sentryframe.plans.hunt import run_hunt
+    from sentryframe.schemas import empty_telemetry
+
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        run_hunt(empty_telemetry(spark))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("window", [5, 1000])
 @pytest.mark.parametrize("value", [None, "v"])
 def test_sliding_max(events, window, value):
