@@ -13,7 +13,7 @@ from ..plans import correlate, coverage, environment, hunt, techniques, triage
 from ..plans.rules import REGISTRY
 from . import projection as P
 from .hunting import (CONFIG, H, _CMD, _IMAGE, _PARENT, any_match, inlist, lit, names_matching)
-from .registry import joined, query, us
+from .registry import ORACLES, joined, query, us
 
 _PUB = f"pub AS (SELECT * FROM network WHERE {P.PUBLIC_IP_SQL})"
 
@@ -271,9 +271,28 @@ def a17(spark, sf):
     return found.select("rule_id", "support", "verdict")
 
 
-@query("a18_technique_coverage")
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+
+
+def _coverage_sql() -> str:
+    """The watch list and the mappings are fixed values; what they come to is stated here."""
+    watch = [(t, c) for t, channels in coverage.WATCHLIST for c in channels]
+    covers = sorted({(m.technique_id, m.rule_id) for m in techniques.MAPPINGS})
+    return f"""
+  WITH watch(technique_id, channel) AS ({_values(watch)}), covers(technique_id, rule_id) AS ({_values(covers)}),
+  seen AS (SELECT technique_id, list_sort(list(DISTINCT channel) FILTER (state IN ('absent_in_data', 'absent_by_schema'))) AS missing
+    FROM watch JOIN ({ORACLES['a16_channel_availability']}) USING (channel) GROUP BY 1),
+  ruled AS (SELECT technique_id, list_sort(list(DISTINCT rule_id)) AS rules, bool_or(coalesce(verdict IN ('usable', 'degraded'), false)) AS credited
+    FROM covers LEFT JOIN ({ORACLES['a17_rule_verdicts']}) USING (rule_id) GROUP BY 1)
+  SELECT technique_id, CASE WHEN len(missing) > 0 THEN 'unobservable' WHEN rules IS NULL THEN 'observable_undetected'
+    WHEN credited THEN 'detectable' ELSE 'unverifiable' END AS state, array_to_string(coalesce(rules, []), ',') AS covering_rules,
+    array_to_string(coalesce(missing, []), ',') AS missing_channels FROM seen LEFT JOIN ruled USING (technique_id)"""
+
+
+@query("a18_technique_coverage", _coverage_sql())
 def a18(spark, sf):
-    found = coverage.technique_coverage(coverage.field_population(P.telemetry(spark, sf, rbac=True)))
+    found = coverage.technique_coverage(coverage.field_population(P.telemetry(spark, sf)))
     return found.select("technique_id", "state", joined("covering_rules"), joined("missing_channels"))
 
 
@@ -438,7 +457,33 @@ def c09(spark, sf):
     return correlate.group_cases(found.findings, links, config=_LINK_CONFIG)
 
 
-@query("c10_c13_case_attributes")
+_CASES = _NODES + _GROUPS + f""",
+  g AS (SELECT component, min((us, rule, id)) AS first, count(*) AS n, max(sev) AS sev FROM nodes JOIN comp USING (id) GROUP BY 1),
+  k AS (SELECT component, row_number() OVER (ORDER BY first) AS i FROM g WHERE n >= 2 OR sev >= 3),
+  img AS (SELECT event_id, {_IMAGE} AS image, regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) AS redirect FROM process),
+  mem AS (SELECT 'CASE-' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS case_id, nodes.*,
+    list_sort(list_filter(CASE rule
+      WHEN 'ATH-001' THEN ['T1204.002', CASE WHEN image IN ('powershell.exe', 'pwsh.exe') THEN 'T1059.001' END, CASE WHEN image = 'cmd.exe' THEN 'T1059.003' END]
+      WHEN 'ATH-007' THEN ['T1569.002', CASE WHEN redirect THEN 'T1021.002' END] ELSE ['T1685'] END, lambda t: t IS NOT NULL)) AS techniques
+    FROM k JOIN comp USING (component) JOIN nodes USING (id) LEFT JOIN img ON event_id = split_part(id, ':', 2))"""
+_GRADES = "['low', 'medium', 'high', 'critical']"
+_PRIMARY = _values([(t, tactics[0], str(techniques.TACTIC_ORDER.index(tactics[0])).zfill(2)) for t, (_, tactics, _) in techniques.TECHNIQUES.items()])
+
+
+@query("c10_c13_case_attributes", _CASES + f""",
+  prim(t, tactic, pos) AS ({_PRIMARY}),
+  tac AS (SELECT case_id, string_agg(tactic, ',' ORDER BY pos) AS tactics, string_agg(tactic, ' -> ' ORDER BY pos) AS told, count(*) AS breadth
+    FROM (SELECT DISTINCT case_id, tactic, pos FROM (SELECT case_id, unnest(techniques) AS t FROM mem) JOIN prim USING (t)) GROUP BY 1),
+  inside AS (SELECT case_id, count(*) AS n FROM links JOIN mem ON left_id = id GROUP BY 1),
+  basic AS (SELECT case_id, min(us) AS start_time, count(*) AS findings, list_sort(list(DISTINCT device)) AS hosts, list_sort(list(DISTINCT u)) AS people,
+    string_agg(DISTINCT rule, ',' ORDER BY rule) AS rule_ids, {_GRADES}[max(sev)] AS severity, count(DISTINCT split_part(id, ':', 2)) AS events FROM mem GROUP BY 1),
+  full_rows AS (SELECT *, coalesce(n, 0) AS strength, CASE WHEN findings = 1 THEN 'low' WHEN breadth >= 4 AND coalesce(n, 0) >= 3 THEN 'high'
+    WHEN breadth >= 2 AND coalesce(n, 0) >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM basic LEFT JOIN tac USING (case_id) LEFT JOIN inside USING (case_id))
+  SELECT case_id, start_time, findings, array_to_string(hosts, ',') AS devices, array_to_string(people, ',') AS users, rule_ids, severity, tactics, confidence, events,
+    CASE WHEN findings = 1 THEN case_id || ': one ' || severity || ' finding, raised on its own severity'
+      ELSE case_id || ': ' || findings || ' findings on ' || array_to_string(hosts, ', ') || ' by ' || array_to_string(people, ', ') END
+    || '; tactics ' || told || CASE WHEN strength > 0 THEN '; ' || strength || ' of ' || strength || ' links structural' ELSE '' END
+    || '; grouping confidence ' || confidence || ', ' || events || ' events' AS explanation FROM full_rows""")
 def c10(spark, sf):
     found, links = _linked(spark, sf)
     members = correlate.group_cases(found.findings, links, config=_LINK_CONFIG)
@@ -448,16 +493,8 @@ def c10(spark, sf):
                       correlate.explain_case().alias("explanation"))
 
 
-@query("c12_case_timeline", _NODES + _GROUPS + f""",
-  g AS (SELECT component, min((us, rule, id)) AS first, count(*) AS n, max(sev) AS sev FROM nodes JOIN comp USING (id) GROUP BY 1),
-  k AS (SELECT component, row_number() OVER (ORDER BY first) AS i FROM g WHERE n >= 2 OR sev >= 3),
-  img AS (SELECT event_id, {_IMAGE} AS image, regexp_matches(command_line, {lit(V.ADMIN_SHARE_REDIRECT)}) AS redirect FROM process)
-  SELECT 'CASE-' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS case_id, us AS "timestamp", id AS finding_id,
-    rule AS rule_id, ['low', 'medium', 'high', 'critical'][sev] AS severity,
-    array_to_string(list_sort(list_filter(CASE rule
-      WHEN 'ATH-001' THEN ['T1204.002', CASE WHEN image IN ('powershell.exe', 'pwsh.exe') THEN 'T1059.001' END, CASE WHEN image = 'cmd.exe' THEN 'T1059.003' END]
-      WHEN 'ATH-007' THEN ['T1569.002', CASE WHEN redirect THEN 'T1021.002' END] ELSE ['T1685'] END, lambda t: t IS NOT NULL)), ',') AS techniques
-  FROM k JOIN comp USING (component) JOIN nodes USING (id) LEFT JOIN img ON event_id = split_part(id, ':', 2)""")
+@query("c12_case_timeline", _CASES + f"""
+  SELECT case_id, us AS "timestamp", id AS finding_id, rule AS rule_id, {_GRADES}[sev] AS severity, array_to_string(techniques, ',') AS techniques FROM mem""")
 def c12(spark, sf):
     found, links = _linked(spark, sf)
     members = correlate.group_cases(found.findings, links, config=_LINK_CONFIG)
