@@ -327,6 +327,45 @@ def t05(spark, sf):
                       F.array_join(F.transform("benign_signals", lambda s: s["name"]), ",").alias("benign_signals"))
 
 
+_PRODUCT, _OFFICE = sorted(V.SECURITY_PRODUCTS)[0], sorted(V.OFFICE_APPLICATIONS)[0]
+
+
+@query("t05_dispositions", P.with_tables() .rstrip(",\n") + f""",
+  c AS (SELECT 'f' || n AS finding_id, k % 4 = 0 AND k % 3 <> 0 AS known, k % 4 = 1 AS office, (k % 20) / 20 AS ph, k % 9 AS pc, k % 23 = 0 OR k % 29 = 0 AS odd,
+      (k * 7 % 20) / 20 AS dh, k % 5 AS di, k % 2 = 0 AS est, k % 6 = 0 AS regular, k % 5 = 0 AS evades, k % 5 > 1 AS quiet, k % 7 = 0 AS loads, k % 3 = 1 AS tls,
+      k % 11 = 0 AS clear, k % 13 <> 0 AND k % 8 >= 5 AS often, k % 4 + 1 > 2 AS high FROM ev),
+  s AS (SELECT *, known OR (ph >= 0.5 AND pc >= 5) OR (dh >= 0.5 AND di >= 3 AND est) AS affirmed,
+      list_filter([CASE WHEN known THEN 'known_management_tool' END, CASE WHEN NOT known AND ph >= 0.5 AND pc >= 5 THEN 'established_tooling' END,
+        CASE WHEN dh >= 0.5 AND di >= 3 AND est THEN 'ubiquitous_destination' END, CASE WHEN quiet THEN 'no_evasion_indicators' END,
+        CASE WHEN NOT loads THEN 'no_download_indicators' END, CASE WHEN tls AND NOT clear THEN 'encrypted_standard_port' END], lambda x: x IS NOT NULL) AS good,
+      list_filter([CASE WHEN evades THEN 'evasion_flags_present' END, CASE WHEN loads THEN 'download_indicators_present' END,
+        CASE WHEN office THEN 'office_application_parent' END, CASE WHEN clear THEN 'cleartext_external_retrieval' END,
+        CASE WHEN often THEN 'sustained_interpreter_contact' END, CASE WHEN odd THEN 'process_identity_conflict' END,
+        CASE WHEN high THEN 'graded_high_by_detection' END], lambda x: x IS NOT NULL) AS bad FROM c),
+  w AS (SELECT *, CASE WHEN known THEN 3 ELSE 0 END + CASE WHEN NOT known AND ph >= 0.5 AND pc >= 5 THEN 2 ELSE 0 END
+      + CASE WHEN dh >= 0.5 AND di >= 3 AND est THEN 3 ELSE 0 END + CASE WHEN quiet THEN 2 ELSE 0 END + CASE WHEN NOT loads THEN 2 ELSE 0 END
+      + CASE WHEN tls AND NOT clear THEN 1 ELSE 0 END AS score FROM s)
+  SELECT finding_id, array_to_string(good, ',') AS benign_signals, array_to_string(bad, ',') AS vetoes,
+    CASE WHEN regular THEN 'suspiciously_regular_contact' ELSE '' END AS disqualifiers, score,
+    CASE WHEN len(bad) > 0 THEN 'likely_malicious' WHEN regular THEN 'needs_review' WHEN score >= 4 AND affirmed THEN 'likely_benign' ELSE 'needs_review' END AS disposition
+  FROM w""")
+def t05_dispositions(spark, sf):
+    """Every signal, veto and disqualifier in all their combinations, from facts made of ``k``."""
+    k, none = F.col("k"), F.array().cast("array<string>")
+    context = P.events(spark, sf).select(
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("finding_id"), F.lit("R").alias("rule_id"),
+        F.when(k % 4 == 0, _PRODUCT).when(k % 4 == 1, _OFFICE).when(k % 4 == 2, "tool.exe").alias("_parent"), (k % 3 != 0).alias("parent_signed"),
+        (k % 20).alias("parent_hosts"), (k % 9).alias("parent_children"), (k % 23 == 0).alias("parent_conflict"), (k % 29 == 0).alias("own_conflict"),
+        (k * 7 % 20).alias("destination_hosts"), (k % 5).alias("destination_images"), (k % 2 == 0).alias("destination_established"), (k % 6 == 0).alias("is_regular"),
+        F.when(k % 5 == 0, F.array(F.lit("hidden"))).when(k % 5 > 1, none).alias("evasion_flags"),
+        F.when(k % 7 == 0, F.array(F.lit("http"))).otherwise(none).alias("download_indicators"),
+        F.when(k % 3 == 1, F.array(F.lit(443).cast("long"))).when(k % 3 == 2, F.array(F.lit(80).cast("long"), F.lit(443).cast("long"))).alias("ports"),
+        (k % 11 == 0).alias("cleartext_http"), F.when(k % 13 != 0, k % 8).alias("connection_count"), (k % 4 + 1).alias("severity_rank"), F.lit(20).alias("_hosts"))
+    out = triage.dispose(context)
+    return out.select("finding_id", "disposition", "score", joined("vetoes"), joined("disqualifiers"),
+                      F.array_join(F.transform("benign_signals", lambda s: s["name"]), ",").alias("benign_signals"))
+
+
 @query("t02_egress_vetoes", _EGRESS + """
   SELECT finding_id, array_to_string(list_filter([CASE WHEN clear THEN 'cleartext_external_retrieval' END,
     CASE WHEN n >= 5 THEN 'sustained_interpreter_contact' END, CASE WHEN clear THEN 'graded_high_by_detection' END],
