@@ -45,7 +45,7 @@ def test_denial_burst_needs_25_and_grades_by_breadth(spark):
     [narrow], _ = run(spark, "AWS-004", controls=rows(25, 1))
     [broad], cited = run(spark, "AWS-004", controls=rows(40, 5))
     assert (narrow.severity, broad.severity, len(cited), broad.evidence_count) == ("medium", "high", 40, 40)
-    assert broad.last_seen == at(39)
+    assert broad.last_seen.isoformat(sep=" ") == at(39)
 
 
 def test_rules_see_only_their_channels(spark):
@@ -128,3 +128,20 @@ def test_cases_link_what_shares_structure(spark):
     assert [attributes[c].findings for c in sorted(attributes)] == [2, 1]
     assert attributes["CASE-001"].confidence == "medium" and attributes["CASE-002"].confidence == "low"
     correlate.assert_unique_findings(found.findings)
+
+
+def test_hunt_to_isolates_a_rule_that_fails_while_running(spark, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from sentryframe.plans import hunt
+
+    rule = hunt.REGISTRY["ATH-012"]
+    broken = replace(rule, detect=lambda r, t, c: hunt.rows_as_findings(
+        r, t.processes.withColumn("command_line", F.raise_error(F.lit("broken"))), "process", F.col("command_line"), reason=F.lit("x")))
+    monkeypatch.setitem(hunt.REGISTRY, "ATH-012", broken)
+    tel = telemetry(spark, processes=[process(parent_process_name="services.exe", process_name="cmd.exe")])
+    found = hunt.hunt_to(tel, str(tmp_path), ["ATH-007", "ATH-012"])
+    assert found.rules_run == ["ATH-007"] and list(found.errors) == ["ATH-012"]
+    assert [r.rule_id for r in found.findings.collect()] == ["ATH-007"] and found.evidence.count() == 1
