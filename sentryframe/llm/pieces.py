@@ -223,20 +223,17 @@ class Decoder:
                 self.raw[i] = bytes([byte])
 
     def decode(self, ids: list[int]) -> str:
-        whole = b"".join([self.raw[i] for i in ids])
+        whole = b"".join(map(self.raw.__getitem__, ids))
         return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
 
 
-def _encode_run(vocabulary):
-    made: list[Encoder] = []
-
+def _encode_run(sent):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Encoder(vocabulary.value))
-        parts, offsets, missing = [], [0], []
+        # A worker keeps the broadcast object, and with it the memories, from task to task.
+        encoder, parts, offsets, missing = sent.value, [], [0], []
         for value in batch.column(1):
             text = value.as_py()
-            ids = b"" if text is None else made[0].encode(text)
+            ids = b"" if text is None else encoder.encode(text)
             missing.append(text is None)
             parts.append(ids)
             offsets.append(offsets[-1] + len(ids) // 4)
@@ -247,13 +244,9 @@ def _encode_run(vocabulary):
     return run
 
 
-def _decode_run(vocabulary):
-    made: list[Decoder] = []
-
+def _decode_run(sent):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Decoder(vocabulary.value))
-        texts = [None if not x.is_valid else made[0].decode(x.values.to_pylist()) for x in batch.column(1)]
+        texts = [None if not x.is_valid else sent.value.decode(x.values.to_numpy().tolist()) for x in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["kept", "decoded"])
 
     return run
@@ -268,13 +261,13 @@ def _over(df: DataFrame, keep: tuple[str, ...], column: str, run, out: str) -> D
 
 def encode(docs: DataFrame, model_file: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``ids``.  The driver reads the model file and sends its pieces."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    sent = docs.sparkSession.sparkContext.broadcast(Encoder(Vocabulary(model_file)))
     return _over(docs, keep, text, _encode_run(sent), "ids array<int>")
 
 
 def decode(rows: DataFrame, model_file: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The ``keep`` columns and ``decoded``."""
-    sent = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    sent = rows.sparkSession.sparkContext.broadcast(Decoder(Vocabulary(model_file)))
     return _over(rows, keep, ids, _decode_run(sent), "decoded string")
 
 
