@@ -119,25 +119,21 @@ def find_contamination(
     schema = f"{kept}, body binary, {HITS}"
     blocks = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
     for number, rows in enumerate(blocks):
-        tables = spark.sparkContext.broadcast((rows, window))
+        tables = spark.sparkContext.broadcast(matchers(rows, window))
         last = number == len(blocks) - 1
         found = map_batches(found.select(*order), _scanner(tables, last), schema)
     return found.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "n_words", "n_hit", "item_ids", "spans")
 
 
 def _scanner(tables, last: bool):
-    built: list = []
-
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not built:
-            built.append(matchers(*tables.value))
         col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         n_words, n_hit, item_ids, spans = [], [], [], []
         before_items, before_spans = col["item_ids"].to_pylist(), col["spans"].to_pylist()
         for body, had, covered in zip(col["body"], before_items, before_spans):
             words = words_of(body.as_py())
             items, hits = set(had), [(x["start"], x["end"]) for x in covered]
-            for matcher in built[0]:
+            for matcher in tables.value:
                 for start, names in matcher.search(words):
                     items.update(names)
                     hits.append((start, start + matcher.length))

@@ -81,7 +81,7 @@ class Profiles:
     """Places of grams in each language's profile."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
-        self.size, self.languages = size, sorted(profiles)
+        self.size, self.languages, self.memory = size, sorted(profiles), Grams()
         self.grams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
         self.place = np.full((len(self.languages), len(self.grams) + 1), -1, np.int64)
         for row, name in enumerate(self.languages):
@@ -143,7 +143,8 @@ def learn(
 
 def _judge(profiles):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams, names, scores = Grams(), [], []
+        # A worker keeps the broadcast object, and with it the memory of words, from task to task.
+        grams, names, scores = profiles.value.memory, [], []
         for text in batch.column(1):
             value = text.as_py()
             name, score = profiles.value.judge(*grams.count(value)) if value else (UNKNOWN, 0.0)
