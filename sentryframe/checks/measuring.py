@@ -315,7 +315,10 @@ def j18(spark, sf):
 _EGRESS = P.with_tables("network") + f""",
   h AS (SELECT * FROM network WHERE {_IMAGE} IN {inlist(V.SCRIPT_INTERPRETERS)} AND direction = 'outbound' AND {P.PUBLIC_IP_SQL}),
   f AS (SELECT 'ATH-003:' || arg_min(event_id, (us, event_id)) AS finding_id, count(*) AS n, bool_or(remote_port = 80) AS clear,
-    list_sort(list(DISTINCT remote_port)) AS ports, bool_or(remote_url <> '') AS url FROM h GROUP BY device, process_id, process_name, remote_ip)"""
+    list_sort(list(DISTINCT remote_port)) AS ports, bool_or(remote_url <> '') AS url, lower(process_name) AS img FROM h GROUP BY device, process_id, process_name, remote_ip)"""
+_CONFLICTS = """SELECT lower(process_name) AS image FROM process GROUP BY 1
+  HAVING count(DISTINCT nullif(signer, '')) > 1 OR (count(DISTINCT nullif(signer, '')) > 0 AND bool_or(signature_status <> 'valid'))"""
+_EGRESS_FULL = _EGRESS.replace(P.with_tables("network"), P.with_tables("network", "process"), 1)
 
 
 @query("t01_t06_triage_dispositions")
@@ -366,17 +369,14 @@ def t05_dispositions(spark, sf):
                       F.array_join(F.transform("benign_signals", lambda s: s["name"]), ",").alias("benign_signals"))
 
 
-@query("t02_egress_vetoes", _EGRESS + """
+@query("t02_egress_vetoes", _EGRESS_FULL + f"""
   SELECT finding_id, array_to_string(list_filter([CASE WHEN clear THEN 'cleartext_external_retrieval' END,
-    CASE WHEN n >= 5 THEN 'sustained_interpreter_contact' END, CASE WHEN clear THEN 'graded_high_by_detection' END],
-    lambda x: x IS NOT NULL), ',') AS vetoes FROM f""")
+    CASE WHEN n >= 5 THEN 'sustained_interpreter_contact' END, CASE WHEN img IN ({_CONFLICTS}) THEN 'process_identity_conflict' END,
+    CASE WHEN clear THEN 'graded_high_by_detection' END], lambda x: x IS NOT NULL), ',') AS vetoes FROM f""")
 def t02(spark, sf):
     tel = P.telemetry(spark, sf)
-    # The image names of the projection disagree on signatures; leave the identity veto out.
-    found = REGISTRY["ATH-003"].run(tel, CONFIG).findings
-    out = triage.assess_findings(found, tel)
-    vetoes = F.filter("vetoes", lambda v: v != "process_identity_conflict")
-    return out.select("finding_id", F.array_join(vetoes, ",").alias("vetoes"))
+    out = triage.assess_findings(REGISTRY["ATH-003"].run(tel, CONFIG).findings, tel)
+    return out.select("finding_id", joined("vetoes"))
 
 
 @query("t04_identity_conflicts", P.with_tables("process") + """
