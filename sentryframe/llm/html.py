@@ -50,6 +50,8 @@ MARKS = frozenset(
     "login share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget disclaimer "
     "copyright skip".split()
 )
+#: Whole names that make even an article element furniture.
+OWN_MARKS = {"comment", "comments", "reply", "ad", "advert", "advertisement", "promo", "teaser"}
 #: Points that a container has by its element alone.
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "body": -1.0}
 
@@ -86,7 +88,7 @@ def _is_furniture(tag: str, attributes: str) -> bool:
             return True
         if name in ("class", "id") and tag not in ("article", "main") and any(w.lower() in MARKS for w in NAME.findall(value)):
             return True
-        if name in ("class", "id") and tag in ("article", "main") and any(w.lower() in ("comment", "comments", "ad", "advert") for w in NAME.findall(value)):
+        if name in ("class", "id") and tag in ("article", "main") and OWN_MARKS & set(value.lower().split()):
             return True
     return False
 

@@ -127,10 +127,10 @@ def learn(
     sizes = {r["language"]: r["n"] for r in labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Profiles({}, profile_size)
-    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
     drawn = F.lit(False)
     for name, n in sorted(sizes.items()):
-        drawn = drawn | ((F.col("language") == name) & (share < max(1, (sample_per_language << 20) // n)))
+        drawn = drawn | ((F.col("language") == name) & (share < max(1, (sample_per_language << 40) // n)))
     counts = map_batches(labelled.where(drawn).select("language", "body"), _counter, "language string, gram long, n long")
     summed = counts.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("language").orderBy(F.col("n").desc(), "gram"))
