@@ -117,7 +117,9 @@ def _picks(starts: DataFrame, keys: list[str], span: int) -> DataFrame:
     width = span * CHAIN_WINDOWS
     own = list(starts.select(*keys).schema.fields)
     long = lambda *names: T.StructType([*own, *(T.StructField(n, T.LongType()) for n in names)])
-    placed = starts.withColumn(BUCKET, bucket_of(F.col(START), width))
+    # Dealt once: the steps and the replay read the same exchange.
+    placed = starts.withColumn(BUCKET, bucket_of(F.col(START), width)).select(*keys, BUCKET, START).repartition(
+        *[F.col(k) for k in keys], F.col(BUCKET))
 
     def steps(group, us):
         begin = int(group[BUCKET]) * width
