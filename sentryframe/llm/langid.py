@@ -32,44 +32,30 @@ UNKNOWN = "und"
 RUNS = re.compile(r"[^\W\d_]+")
 #: Code points take 21 bits, so three of them fill one integer.
 BITS = 21
-#: Words whose grams a task remembers; the memory is emptied when full.
-REMEMBERED = 100_000
 
 
-def grams_of(word: str) -> np.ndarray:
-    """1-, 2- and 3-grams of a word between blanks, as packed code points; none without a letter."""
-    if not any(c.isalpha() for c in word):
-        return np.empty(0, np.int64)
-    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """1-, 2- and 3-grams of a text's words between blanks, as packed code points, and their counts.
+
+    Distinct words are laid side by side with one blank between them, so all grams are formed at
+    once: every pair lies in a word and its blanks, and so does a triple unless its middle is a blank.
+    """
+    words = Counter(RUNS.findall(text.lower()))
+    names = [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+    if not names:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = np.frombuffer(f" {' '.join(names)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    times = np.zeros(len(codes), np.int64)
+    times[1:] = np.repeat([words[w] for w in names], [len(w) + 1 for w in names])
+    blank = codes == 32
     pairs = (codes[:-1] << BITS) | codes[1:]
-    return np.concatenate([codes[1:-1], pairs, (pairs[:-1] << BITS) | codes[2:]])
-
-
-class Grams:
-    """Gram counts of texts, with a bounded memory of words."""
-
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(RUNS.findall(text.lower()))
-        known, arrays, sizes = self.known, [], []
-        for word in words:
-            grams = known.get(word)
-            if grams is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                grams = known[word] = grams_of(word)
-            arrays.append(grams)
-            sizes.append(len(grams))
-        if not any(sizes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
-        codes = np.concatenate(arrays)
-        order = np.argsort(codes, kind="stable")
-        codes, times = codes[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(times, first)
+    triples, inside = (pairs[:-1] << BITS) | codes[2:], ~blank[1:-1]
+    grams = np.concatenate([codes[~blank], pairs, triples[inside]])
+    counts = np.concatenate([times[~blank], np.where(blank[:-1], times[1:], times[:-1]), times[1:-1][inside]])
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts, first)
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -81,7 +67,7 @@ class Profiles:
     """Places of grams in each language's profile."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
-        self.size, self.languages, self.memory = size, sorted(profiles), Grams()
+        self.size, self.languages = size, sorted(profiles)
         self.grams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
         self.place = np.full((len(self.languages), len(self.grams) + 1), -1, np.int64)
         for row, name in enumerate(self.languages):
@@ -101,9 +87,9 @@ class Profiles:
 
 
 def _counter(batch: pa.RecordBatch) -> pa.RecordBatch:
-    grams, sums = Grams(), {}
+    sums: dict[str, list] = {}
     for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        codes, counts = grams.count(text.as_py())
+        codes, counts = count_grams(text.as_py())
         sums.setdefault(language, []).append((codes, counts))
     names, all_codes, all_counts = [], [], []
     for language, parts in sums.items():
@@ -143,11 +129,10 @@ def learn(
 
 def _judge(profiles):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # A worker keeps the broadcast object, and with it the memory of words, from task to task.
-        grams, names, scores = profiles.value.memory, [], []
+        names, scores = [], []
         for text in batch.column(1):
             value = text.as_py()
-            name, score = profiles.value.judge(*grams.count(value)) if value else (UNKNOWN, 0.0)
+            name, score = profiles.value.judge(*count_grams(value)) if value else (UNKNOWN, 0.0)
             names.append(name)
             scores.append(score)
         return pa.RecordBatch.from_arrays(
