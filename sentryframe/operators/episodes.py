@@ -64,37 +64,36 @@ def _streamed(df: DataFrame, groups: list[str], values: list[str], make, schema:
     ``make`` gives the columns that ``schema`` has after the group's own.
     """
     added = [f.name for f in schema.fields if f.name not in groups]
+    kept = [g for g in groups if g in schema.names]
 
-    def finish(parts):
-        arrays = [np.concatenate([p[v].to_numpy() for p in parts]) for v in values]
-        head = parts[0].iloc[0]
-        made = make({g: head[g] for g in groups}, *arrays)
-        n = len(made[0])
-        columns = {g: pd.Series([head[g]] * n, dtype=parts[0][g].dtype) for g in groups if g in schema.names}
-        return pd.DataFrame({**columns, **dict(zip(added, made))})[schema.names]
+    def table(done):
+        """One frame of the finished groups: their keys, repeated, and what ``make`` gave."""
+        sizes = [len(made[0]) for _, made in done]
+        columns = {g: np.repeat(np.array([head[g] for head, _ in done], dtype=object), sizes) for g in kept}
+        for i, name in enumerate(added):
+            columns[name] = np.concatenate([made[i] for _, made in done]).astype(np.int64)
+        return pd.DataFrame(columns)[schema.names]
 
     def run(batches):
-        parts: list[pd.DataFrame] = []
+        head, parts = None, []  # the group at hand
         for pdf in batches:
-            if not len(pdf):
-                continue
-            new = np.zeros(len(pdf), bool)
-            for g in groups:
-                column = pdf[g].to_numpy()
-                new[1:] |= column[1:] != column[:-1]
-            new[0] = bool(parts) and any(parts[0][g].iloc[0] != pdf[g].iloc[0] for g in groups)
-            bounds = [0, *np.flatnonzero(new), len(pdf)]
-            out = []
+            keys = [pdf[g].to_numpy() for g in groups]
+            data = [pdf[v].to_numpy() for v in values]
+            new = np.ones(len(pdf), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            if len(pdf) and head is not None:
+                new[0] = any(head[g] != k[0] for g, k in zip(groups, keys))
+            bounds, done = [*np.flatnonzero(new), len(pdf)], []
+            if bounds[0] > 0:
+                parts.append([d[:bounds[0]] for d in data])
             for lo, hi in zip(bounds, bounds[1:]):
-                if lo < len(pdf) and new[lo] and parts:
-                    out.append(finish(parts))
-                    parts = []
-                if hi > lo:
-                    parts.append(pdf.iloc[lo:hi])
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if parts:
-            yield finish(parts)
+                if head is not None:
+                    done.append((head, make(head, *map(np.concatenate, zip(*parts)))))
+                head, parts = {g: k[lo] for g, k in zip(groups, keys)}, [[d[lo:hi] for d in data]]
+            if done:
+                yield table(done)
+        if head is not None:
+            yield table([(head, make(head, *map(np.concatenate, zip(*parts))))])
 
     dealt = df.select(*groups, *values).repartition(*[F.col(g) for g in groups]).sortWithinPartitions(*groups, *values)
     return dealt.mapInPandas(run, schema)
