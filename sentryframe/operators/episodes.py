@@ -19,10 +19,12 @@ key takes this way, whatever its size, and nothing runs while the plan is made.
 
 from __future__ import annotations
 
+import sys
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,9 @@ CHAIN_WINDOWS = 64
 
 START, END_BOUND = "start_us", "bound_us"
 
+# The functions travel with the task: executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def qualifying_starts(
     events: DataFrame, keys: list[str], ts: str, min_events: int, window: timedelta

@@ -9,17 +9,21 @@ one staging table, which admissions, tables and issues all read.
 from __future__ import annotations
 
 import io
+import sys
 import tarfile
 import zlib
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage_cut import cut
 from ..schemas import Telemetry
 
+# The functions travel with the task: executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
 # Reasons a file is refused (fixed values).
 WRONG_SHAPE = "extension matched but content is not this source's telemetry"
 UNPARSEABLE = "file does not parse in any shape this source accepts"
