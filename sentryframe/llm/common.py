@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ BATCH_ROWS = 500
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["PIECE_BYTES", "ascii_lower", "cut", "let", "map_batches", "pieces", "read", "sha256_hex", "ship"]
+__all__ = ["PIECE_BYTES", "ascii_lower", "cut", "held", "let", "map_batches", "pieces", "read", "send", "sha256_hex", "ship"]
 
 
 def ship(module: str) -> None:
@@ -29,6 +31,19 @@ def ship(module: str) -> None:
     register_pickle_by_value(sys.modules[module])
 
 
+def send(spark, value):
+    """Broadcast an object of this package by value, for :func:`held` to unpack."""
+    return spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+
+def held(sent):
+    """The object that was sent; a worker unpacks it once and keeps it from task to task."""
+    box = sent.value
+    if isinstance(box[0], bytes):
+        box[0] = pickle.loads(box[0])
+    return box[0]
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship
+from .common import held, map_batches, send, ship
 
 #: Lower-cases A-Z and turns every other ASCII character but a-z and 0-9 into a blank.
 WORD_TABLE = bytes(
@@ -119,7 +119,7 @@ def find_contamination(
     schema = f"{kept}, body binary, {HITS}"
     blocks = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
     for number, rows in enumerate(blocks):
-        tables = spark.sparkContext.broadcast(matchers(rows, window))
+        tables = send(spark, matchers(rows, window))
         last = number == len(blocks) - 1
         found = map_batches(found.select(*order), _scanner(tables, last), schema)
     return found.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "n_words", "n_hit", "item_ids", "spans")
@@ -133,7 +133,7 @@ def _scanner(tables, last: bool):
         for body, had, covered in zip(col["body"], before_items, before_spans):
             words = words_of(body.as_py())
             items, hits = set(had), [(x["start"], x["end"]) for x in covered]
-            for matcher in tables.value:
+            for matcher in held(tables):
                 for start, names in matcher.search(words):
                     items.update(names)
                     hits.append((start, start + matcher.length))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_batches, ship
+from .common import held, map_batches, send, ship
 
 UNKNOWN = "und"
 RUNS = re.compile(r"[^\W\d_]+")
@@ -132,7 +132,7 @@ def _judge(profiles):
         names, scores = [], []
         for text in batch.column(1):
             value = text.as_py()
-            name, score = profiles.value.judge(*count_grams(value)) if value else (UNKNOWN, 0.0)
+            name, score = held(profiles).judge(*count_grams(value)) if value else (UNKNOWN, 0.0)
             names.append(name)
             scores.append(score)
         return pa.RecordBatch.from_arrays(
@@ -143,7 +143,7 @@ def _judge(profiles):
 
 def identify(docs: DataFrame, profiles: Profiles, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns with ``lang_pred`` and ``score`` (1: every gram in its place)."""
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)
+    sent = send(docs.sparkSession, profiles)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), F.col(f"`{text}`").alias("body"))
     kept_type = rows.schema["kept"].dataType.simpleString()
     judged = map_batches(rows, _judge(sent), f"kept {kept_type}, lang_pred string, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship
+from .common import held, map_batches, send, ship
 
 MARK = "▁"
 #: Entries of each memory of a task; a full one is emptied, of words the older half.
@@ -230,7 +230,7 @@ class Decoder:
 def _encode_run(sent):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         # A worker keeps the broadcast object, and with it the memories, from task to task.
-        encoder, parts, offsets, missing = sent.value, [], [0], []
+        encoder, parts, offsets, missing = held(sent), [], [0], []
         for value in batch.column(1):
             text = value.as_py()
             ids = b"" if text is None else encoder.encode(text)
@@ -246,7 +246,7 @@ def _encode_run(sent):
 
 def _decode_run(sent):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if not x.is_valid else sent.value.decode(x.values.to_numpy().tolist()) for x in batch.column(1)]
+        texts = [None if not x.is_valid else held(sent).decode(x.values.to_numpy().tolist()) for x in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["kept", "decoded"])
 
     return run
@@ -261,13 +261,13 @@ def _over(df: DataFrame, keep: tuple[str, ...], column: str, run, out: str) -> D
 
 def encode(docs: DataFrame, model_file: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``ids``.  The driver reads the model file and sends its pieces."""
-    sent = docs.sparkSession.sparkContext.broadcast(Encoder(Vocabulary(model_file)))
+    sent = send(docs.sparkSession, Encoder(Vocabulary(model_file)))
     return _over(docs, keep, text, _encode_run(sent), "ids array<int>")
 
 
 def decode(rows: DataFrame, model_file: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The ``keep`` columns and ``decoded``."""
-    sent = rows.sparkSession.sparkContext.broadcast(Decoder(Vocabulary(model_file)))
+    sent = send(rows.sparkSession, Decoder(Vocabulary(model_file)))
     return _over(rows, keep, ids, _decode_run(sent), "decoded string")
 
 
