@@ -5,7 +5,9 @@ footer, aside, form, script and style elements, and elements whose role, class o
 menu, sidebar, notice, advert, comment or the like.  Every paragraph then passes points to its
 ancestors: one, one for each comma and up to three for length, all to the parent, half to the
 grandparent, a third and less to the three above; an element's points are discounted by its link density.
-The best container, and those siblings that score well or are plain paragraphs, are kept whole.
+A best container inside an article or main element is lifted to that element, and on to what
+holds no more text.  It and its siblings are kept whole, whatever their length; siblings that
+have half of their text or more in links are left out.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by an empty line.  Nothing is dropped or cut for its length.
@@ -55,6 +57,14 @@ OWN_MARKS = {"comment", "comments", "reply", "ad", "advert", "advertisement", "p
 #: Points that a container has by its element alone.
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "body": -1.0}
 
+#: Elements that are parts of a line.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt "
+    "u var wbr".split()
+)
+#: Beside the best container, what has this share of its text in links is left out.
+LINKED = 0.5
+
 #: What a paragraph passes to its parent and the ancestors above it.
 SHARES = (1.0, 0.5, 1 / 3, 1 / 6, 1 / 9)
 
@@ -180,18 +190,57 @@ def _measure(root: Element) -> list[Element]:
             elif not c.bad:
                 e.text_chars += c.text_chars
                 e.commas += c.commas
-                e.link_chars += c.text_chars if c.tag == "a" else c.link_chars
+                e.link_chars += _linked(c)
     return order
 
 
+def _linked(e: Element) -> int:
+    return e.text_chars if e.tag == "a" else e.link_chars
+
+
 def _is_paragraph(e: Element) -> bool:
     if e.tag in ("p", "pre", "blockquote", "td", "dd", "li"):
         return True
     return e.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in e.children)
 
 
-def best_containers(root: Element) -> list[Element]:
-    """The best container and the siblings kept with it, in page order."""
+def _lifted(best: Element) -> Element:
+    """The article, else main, around the best container, and what is around that and holds no more text."""
+    around, e = {}, best
+    while e is not None:
+        around[e.tag] = e
+        e = e.parent
+    best = around.get("article") or around.get("main") or best
+    while best.parent is not None and best.parent.text_chars == best.text_chars:
+        best = best.parent
+    return best
+
+
+def _beside(best: Element) -> list[Element | str]:
+    """The best container and its siblings of low link density; text and inline elements in a row are judged as one."""
+    kept: list[Element | str] = []
+    run: list[Element | str] = []
+
+    def end() -> None:
+        chars = sum(len(c.strip()) if isinstance(c, str) else c.text_chars for c in run)
+        if chars and sum(_linked(c) for c in run if isinstance(c, Element)) < LINKED * chars:
+            kept.extend(run)
+        run.clear()
+
+    for c in best.parent.children:
+        if isinstance(c, str) or (c.tag in INLINE and c is not best):
+            if isinstance(c, str) or not c.bad:
+                run.append(c)
+            continue
+        end()
+        if c is best or (not c.bad and c.text_chars and _linked(c) < LINKED * c.text_chars):
+            kept.append(c)
+    end()
+    return kept
+
+
+def best_containers(root: Element) -> list[Element | str]:
+    """The best container and what is kept beside it, in page order."""
     order = _measure(root)
     scored: dict[int, Element] = {}
     for e in order:
@@ -214,19 +263,11 @@ def best_containers(root: Element) -> list[Element]:
                 best, top = e, score
     if best is None:
         return [root]
-    kept = []
-    for c in best.parent.children if best.parent is not None else [best]:
-        if not isinstance(c, Element) or c.bad:
-            continue
-        density = c.link_chars / c.text_chars if c.text_chars else 1.0
-        alike = c.tag == best.tag and (c.points + BONUS.get(c.tag, 0.0)) * (1 - density) >= max(10.0, 0.2 * top)
-        plain = c.tag == "p" and c.text_chars > 80 and density < 0.25 and best.tag not in ("article", "main")
-        if c is best or alike or plain:
-            kept.append(c)
-    return kept
+    best = _lifted(best)
+    return [best] if best.parent is None else _beside(best)
 
 
-def blocks_of(containers: list[Element]) -> list[str]:
+def blocks_of(containers: list[Element | str]) -> list[str]:
     """The text blocks below the containers, decoded and trimmed."""
     blocks, parts = [], []
 
@@ -237,6 +278,9 @@ def blocks_of(containers: list[Element]) -> list[str]:
             blocks.append(text)
 
     for container in containers:
+        inline = isinstance(container, str) or container.tag in INLINE
+        if not inline:
+            end()
         stack: list[Element | str | None] = [container]
         while stack:
             x = stack.pop()
@@ -251,7 +295,9 @@ def blocks_of(containers: list[Element]) -> list[str]:
                     end()
                     stack.append(None)
                 stack.extend(reversed(x.children))
-        end()
+        if not inline:
+            end()
+    end()
     return blocks
 
 

@@ -183,6 +183,20 @@ def test_html_main_text(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_keeps_the_same_parts_at_any_length():
+    for n in (3, 30):
+        body = "".join(f"<p>part {i}, one, two, three, four, five</p>" for i in range(n))
+        text = [f"part {i}, one, two, three, four, five" for i in range(n)]
+        parts = f"<h1>Head</h1><div>{body}</div><ul><li>item</ul><blockquote>said</blockquote><table><tr><td>cell</table><p>short"
+        whole = "\n\n".join(["Head", *text, "item", "said", "cell", "short"])
+        links = "<ul><li><a href=/x>Elsewhere</a></ul>"
+        assert html.extract_text(f"<body><nav>menu</nav><article>{parts}</article>{links}") == whole
+        assert html.extract_text(f"<body><main><div>{parts}</div></main>{links}") == whole
+        assert html.extract_text(f"<body><div>{parts}{links}</div>{links}") == whole
+        said = "\n\n".join(["See this now", *text, "end, of it"])
+        assert html.extract_text(f"<div>See <b>this</b> now<section>{body}</section><section><p>end, of it</section></div>") == said
+
+
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
