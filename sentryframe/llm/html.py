@@ -2,7 +2,9 @@
 
 The html is read into a tree of elements.  Furniture is cut off first: navigation, header,
 footer, aside, form, script and style elements, and elements whose role, class or id names a
-menu, sidebar, notice, advert, comment or the like.  Every paragraph then passes points to its
+menu, sidebar, notice, advert, comment or the like.  A class or id alone does not cut an element
+that holds an article or main (not half links); on a page without those, none that holds three quarters of
+the paragraphs' points; nor do words after has-, with-, no- and the like.  Every paragraph then passes points to its
 ancestors: one, one for each comma and up to three for length, all to the parent, half to the
 grandparent, a third and less to the three above; an element's points are discounted by its link density.
 A best container inside an article or main element is lifted to that element, and on to what
@@ -52,6 +54,8 @@ MARKS = frozenset(
     "login share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget disclaimer "
     "copyright skip".split()
 )
+#: Words of a name after which it speaks of other elements.
+OTHERS = frozenset("has have with without no not non hide".split())
 #: Whole names that make even an article element furniture.
 OWN_MARKS = {"comment", "comments", "reply", "ad", "advert", "advertisement", "promo", "teaser"}
 #: Points that a container has by its element alone.
@@ -64,6 +68,8 @@ INLINE = frozenset(
 )
 #: Beside the best container, what has this share of its text in links is left out.
 LINKED = 0.5
+#: An element with a furniture name and more than this share of the paragraphs' points is not cut.
+MOST = 0.75
 
 #: What a paragraph passes to its parent and the ancestors above it.
 SHARES = (1.0, 0.5, 1 / 3, 1 / 6, 1 / 9)
@@ -74,10 +80,10 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Element:
-    __slots__ = ("bad", "children", "commas", "link_chars", "parent", "points", "tag", "text_chars")
+    __slots__ = ("bad", "children", "commas", "link_chars", "marked", "parent", "points", "tag", "text_chars")
 
-    def __init__(self, tag: str, parent: Element | None, bad: bool):
-        self.tag, self.parent, self.bad = tag, parent, bad
+    def __init__(self, tag: str, parent: Element | None, bad: bool, marked: bool = False):
+        self.tag, self.parent, self.bad, self.marked = tag, parent, bad, marked
         self.children: list[Element | str] = []
         self.points, self.text_chars, self.link_chars, self.commas = 0.0, 0, 0, 0
 
@@ -96,15 +102,28 @@ def _is_furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("article", "main") and any(w.lower() in MARKS for w in NAME.findall(value)):
-            return True
         if name in ("class", "id") and tag in ("article", "main") and OWN_MARKS & set(value.lower().split()):
             return True
     return False
 
 
+def _is_marked(tag: str, attributes: str) -> bool:
+    """Whether a class or id names furniture; what comes after has-, with-, no- and the like is not the element itself."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                for word in map(str.lower, NAME.findall(name)):
+                    if word in OTHERS:
+                        break
+                    if word in MARKS:
+                        return True
+    return False
+
+
 def parse(html: str) -> Element:
-    """The page as a tree; furniture is marked ``bad`` with all that it holds."""
+    """The page as a tree; furniture is ``bad`` with all that it holds, unless its name alone says so."""
     root = here = Element("#root", None, False)
     at, n = 0, len(html)
     while at < n:
@@ -124,7 +143,7 @@ def parse(html: str) -> Element:
             here = _close(here, tag)
             continue
         here = _make_room(here, tag)
-        element = Element(tag, here, here.bad or _is_furniture(tag, m[3]))
+        element = Element(tag, here, here.bad or _is_furniture(tag, m[3]), _is_marked(tag, m[3]))
         here.children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -183,6 +202,7 @@ def _measure(root: Element) -> list[Element]:
     """Text, commas and link text of every element; leaves of the walk first."""
     order = list(_walk(root))
     for e in reversed(order):
+        e.text_chars = e.commas = e.link_chars = 0
         for c in e.children:
             if isinstance(c, str):
                 e.text_chars += len(c.strip())
@@ -204,6 +224,30 @@ def _is_paragraph(e: Element) -> bool:
     return e.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in e.children)
 
 
+def _points(e: Element) -> float:
+    """What a paragraph passes on; nothing from other elements."""
+    if not e.text_chars or not _is_paragraph(e):
+        return 0.0
+    return (1 + e.commas + min(e.text_chars / 100, 3.0)) * (1 - e.link_chars / e.text_chars)
+
+
+def _cut_marked(root: Element) -> None:
+    """Cut the elements with a furniture name, but not the one around the page's articles or, without any, three quarters of its points."""
+    order = _measure(root)
+    if not any(e.marked for e in order):
+        return
+    points: dict[int, float] = {}
+    articles: dict[int, int] = {}
+    for e in reversed(order):
+        inner = [c for c in e.children if isinstance(c, Element) and not c.bad]
+        points[id(e)] = _points(e) + sum(points[id(c)] for c in inner)
+        itself = e.tag in ("article", "main") and e.link_chars < LINKED * e.text_chars
+        articles[id(e)] = itself + sum(articles[id(c)] for c in inner)
+    for e in order:
+        if e.marked and not (articles[id(e)] if articles[id(root)] else points[id(e)] > MOST * points[id(root)]):
+            e.bad = True
+
+
 def _lifted(best: Element) -> Element:
     """The article, else main, around the best container, and what is around that and holds no more text."""
     around, e = {}, best
@@ -241,13 +285,13 @@ def _beside(best: Element) -> list[Element | str]:
 
 def best_containers(root: Element) -> list[Element | str]:
     """The best container and what is kept beside it, in page order."""
+    _cut_marked(root)
     order = _measure(root)
     scored: dict[int, Element] = {}
     for e in order:
         if not e.text_chars or not _is_paragraph(e):
             continue
-        density = e.link_chars / e.text_chars
-        points = (1 + e.commas + min(e.text_chars / 100, 3.0)) * (1 - density)
+        points = _points(e)
         up = e if e.tag in ("div", "section", "article", "main", "body") else e.parent
         for share in SHARES:
             if up is None:

@@ -197,6 +197,16 @@ def test_html_keeps_the_same_parts_at_any_length():
         assert html.extract_text(f"<div>See <b>this</b> now<section>{body}</section><section><p>end, of it</section></div>") == said
 
 
+def test_html_names_do_not_cut_the_article():
+    side = "<div class='sidebar'><p>side, side, side</p></div><div class=site-footer><p>foot, foot</p></div>"
+    text = "<h1>Head</h1><p>one, two, three</p><p>four</p>"
+    for name in ("site has-sidebar", "layout-with-sidebar", "no-ads", "post-with-comments", "sidebar-layout", "withSidebar"):
+        for page in (f"<article>{text}</article>{side}", f"<main>{text}{side}</main>", f"<div>{text}</div>{side}"):
+            assert html.extract_text(f"<body><div class='{name}'><div id=x>{page}</div></div></body>") == "Head\n\none, two, three\n\nfour"
+    talk = "<div class=comments>" + "<p>nice, nice, nice</p>" * 30 + "</div><div class=related><article><a href=/x>More</a></article></div>"
+    assert html.extract_text(f"<body><article>{text}</article>{talk}</body>") == "Head\n\none, two, three\n\nfour"
+
+
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
