@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,17 @@ def test_learned_format_finds_its_like_and_leaves_words(spark):
     assert len(found[80]) == 1 and found[80][0].startswith("zk") and not found[81]
 
 
+def test_learned_formats_of_short_values_and_of_letters(spark):
+    rng = random.Random(10)
+    words = [f"{a}{b}{c}{d}" for a in ("over", "under", "inter") for b in ("stand", "work", "view") for c in ("ing", "ed", "able") for d in ("", "ness", "ly")]
+    for letters, n, prefix in ((string.digits, 6, "zk"), (string.ascii_uppercase, 12, ""), (string.ascii_letters + string.digits, 14, "")):
+        value = lambda: prefix + "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        plain = [value() for _ in range(20)]
+        texts = [f"token = {value()} and text" for _ in range(200)] + [f"see {v} here" for v in plain] + [" ".join(words)]
+        found = {r["doc_id"]: [s["value"] for s in r["learned"]] for r in secrets.find_secrets(documents(spark, texts)).collect()}
+        assert sum(found[200 + i] == [v] for i, v in enumerate(plain)) >= 18 and found[220] == []
+
+
 def test_language_profiles_on_held_out_rows(spark):
     one = prose(1, 1)
     vocabularies = {"aa": ["the", "and", "thing", "other", "with"], "bb": ["der", "und", "schön", "nicht", "ich"], "cc": ["él", "los", "ción", "que", "año"]}
