@@ -4,9 +4,10 @@ Patterns are windows of ``window`` consecutive words of each benchmark item (a s
 one window).  A table over blocks of two words tells how far the search may jump; a jump of
 zero names a bucket of windows that end in that block, which are then compared word by word.
 
-Benchmark items are split by bytes into blocks that fit a task; every block is one more pass
-within the same stage over the same rows, so no document is shuffled.  Per document the state
-is its own hits only.
+Benchmark items are dealt by hash to blocks of about ``block_bytes``.  Each block is one pass over
+the rows: the driver holds the texts of that block only, tasks build its tables, and between two
+passes the rows with the spans found so far are written to the checkpoint folder.  No document is
+shuffled.  Per document the state is its own hits only.
 
 Null or empty text has no words.  Items without words match nothing.  Rows are judged one by
 one, so null ids, ties and repeated rows come back as they are; other columns are not read.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_batches, send, ship
+from .common import cut, held, map_batches, send, ship
 
 #: Lower-cases A-Z and turns every other ASCII character but a-z and 0-9 into a blank.
 WORD_TABLE = bytes(
@@ -88,14 +89,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Block:
+    """The items of one block; a worker builds their tables once."""
+
+    def __init__(self, rows: list[tuple[str, bytes]], window: int):
+        self.rows, self.window = rows, window
+        self.built: list[WuManber] | None = None
+
+    def tables(self) -> list[WuManber]:
+        if self.built is None:
+            self.built, self.rows = matchers(self.rows, self.window), []
+        return self.built
+
+
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int):
+    """How many blocks there are, and a function that reads one of them."""
     items = benchmark.select(
         F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("words")
     ).where("item is not null and words is not null")
     size = items.agg(F.sum(F.length("words"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
-    for block in range(count):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == block).collect()]
+    return count, lambda block: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == block).collect()]
 
 
 def find_contamination(
@@ -117,15 +131,18 @@ def find_contamination(
     found = found.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
     order = [*(f"k{i}" for i in range(len(keep))), "body", "n_words", "n_hit", "item_ids", "spans"]
     schema = f"{kept}, body binary, {HITS}"
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
-    for number, rows in enumerate(blocks):
-        tables = send(spark, matchers(rows, window))
-        last = number == len(blocks) - 1
-        found = map_batches(found.select(*order), _scanner(tables, last), schema)
+    count, block_of = _blocks(benchmark, item_id, item_text, block_bytes)
+    for number in range(count):
+        sent = send(spark, Block(block_of(number), window))
+        last = number == count - 1
+        found = map_batches(found.select(*order), _scanner(sent, last), schema)
+        if not last:
+            found = cut(found)
+            sent.unpersist()
     return found.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "n_words", "n_hit", "item_ids", "spans")
 
 
-def _scanner(tables, last: bool):
+def _scanner(block, last: bool):
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         n_words, n_hit, item_ids, spans = [], [], [], []
@@ -133,7 +150,7 @@ def _scanner(tables, last: bool):
         for body, had, covered in zip(col["body"], before_items, before_spans):
             words = words_of(body.as_py())
             items, hits = set(had), [(x["start"], x["end"]) for x in covered]
-            for matcher in held(tables):
+            for matcher in held(block).tables():
                 for start, names in matcher.search(words):
                     items.update(names)
                     hits.append((start, start + matcher.length))

@@ -47,6 +47,18 @@ def test_decontamination_equals_brute_force(spark):
         assert got == {i: windows_found(t, usable) for i, t in enumerate(texts)}
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    log = []
+    send, cut = decontaminate.send, decontaminate.cut
+    monkeypatch.setattr(decontaminate, "send", lambda s, block: log.append(len(block.rows)) or send(s, block))
+    monkeypatch.setattr(decontaminate, "cut", lambda df: log.append("written") or cut(df))
+    items = [(i, f"w{i} x{i} y{i}") for i in range(12)]
+    docs = documents(spark, [text for _, text in items] + [" ".join(text for _, text in items)])
+    got = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=32)
+    assert log[1::2] == ["written"] * (len(log) // 2) and len(log) > 5 and sum(log[::2]) == 12
+    assert {r["doc_id"]: (r["n_hit"], len(r["item_ids"])) for r in got.collect()} == {**{i: (3, 1) for i in range(12)}, 12: (36, 12)}
+
+
 def test_decontamination_takes_awkward_rows_and_empty_tables(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
