@@ -22,8 +22,9 @@ written out.  Work inside a bundle of near copies grows with its blocks' pairs.
 
 Null or empty text, or text without words, has an empty set: no links, a component of its own.
 A document of fewer words than a shingle has its whole sequence as one shingle.  A null id has
-no links, a null component and is kept.  Repeated rows of one id share its component.  Other
-columns are not read.  An empty table gives no rows.
+no links, a null component and is kept.  Repeated rows of one id share its component, also
+with different texts (each text's links count); only a row with an empty set stays by itself.
+Other columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -259,10 +260,10 @@ def _bundle_links(words: int, percent: int):
         def row_of(c, i):
             found = shingler.set_of(c[6][i].as_py())
             same = hashlib.blake2b(found.tobytes(), digest_size=16).digest() == c[5][i].as_py()
-            return c[3][i].as_py(), c[4][i].as_py(), found if same else None
+            return c[3][i].as_py(), c[4][i].as_py(), found if same else None, c[5][i].as_py()
 
         def finish(group, rows):
-            rows = list({r[1]: r for r in rows if r[2] is not None}.values())
+            rows = list({(r[1], r[3]): r for r in rows if r[2] is not None}.values())
             sides = np.array([r[0] for r in rows]) if group and group[1] != group[2] else None
             for x, y in _exact([r[2] for r in rows], sides, percent):
                 yield rows[x][1], rows[y][1]
@@ -295,7 +296,7 @@ def components(
     named = sketched.where("n > 0 and key is not null")
     nodes = named.groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes)
-    edges = _exact_links(rows, nodes, words, percent)
+    edges = _exact_links(rows, nodes, words, percent).where("u <> v").union(_id_links(named, nodes))
     labels = connected_components(edges.select("u").union(edges.select(F.col("v").alias("u"))).distinct(), edges, node="u")
     of_set = nodes.select(F.col("digest").alias("d"), F.col("key").alias("node")).join(labels, F.col("node") == F.col("u"), "left").select(
         "d", F.coalesce("component", "node").alias("component"))
@@ -306,6 +307,14 @@ def components(
         F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
+def _id_links(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, v``: the nodes of an id that has several sets, each linked to the id itself."""
+    several = named.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
+    sets = named.select("key", "digest").join(several, "key").distinct()
+    return sets.join(nodes.select("digest", F.col("key").alias("node")), "digest").where("node <> key").select(
+        F.col("node").alias("u"), F.col("key").alias("v"))
+
+
 def _exact_links(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """``u, v``: links of nodes that span every component."""
     bundles = _bundles(nodes, percent)

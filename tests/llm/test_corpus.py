@@ -73,6 +73,18 @@ def test_components_take_awkward_rows(spark):
     assert minhash.components(documents(spark, [])).count() == 0
 
 
+def test_components_follow_every_text_of_a_repeated_id(spark):
+    a, b = prose(71, 60).split(), prose(72, 60).split()
+    near = lambda words, i: " ".join([*words[:-i], *["changed"] * i])
+    mixed = " ".join(a + b)
+    rows = [(7, near(a, 1)), (7, near(b, 1)), (9, " ".join(a)), (8, " ".join(b)), (3, mixed), (5, mixed), (5, near(a, 2)), (6, prose(73, 60))]
+    rows = [(i, t, None, None, 0) for i, t in rows]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.components(docs, words=4).collect()}
+        assert got == {(3, 3, True), (5, 3, False), (6, 6, True), (7, 3, False), (8, 3, False), (9, 3, False)}
+
+
 def test_shingler_cuts_do_not_change_words(monkeypatch):
     text = prose(3, 3000).encode()
     whole = minhash.Shingler(5).set_of(text)
