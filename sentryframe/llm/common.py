@@ -70,19 +70,19 @@ def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(start, min(step, rows - start))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str, whole: bool = False) -> DataFrame:
     """Apply a function to every batch of the rows, a few megabytes at a time.
 
-    Arrow batches hold at most BATCH_ROWS rows, unless the session names a number itself.
+    With ``whole``, the function takes the iterator over a task's batches and gives one.  Arrow
+    batches hold at most BATCH_ROWS rows, unless the session names a number itself.
     """
     conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(rows, None) in (None, "10000"):
         conf.set(rows, str(BATCH_ROWS))
 
     def run(batches):
-        for batch in batches:
-            for piece in pieces(batch):
-                yield function(piece)
+        cuts = (piece for batch in batches for piece in pieces(batch))
+        yield from function(cuts) if whole else map(function, cuts)
 
     return df.mapInArrow(run, schema)
 

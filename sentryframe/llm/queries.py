@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, linededup, minhash, pieces, quality, secrets, urls
+from . import chat, decontaminate, html, langid, linededup, minhash, pieces, quality, secrets, spelling, urls
 from .common import read
 
 
@@ -101,13 +101,55 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(read(spark, sf_dir, "documents"), typo_every=31))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_html_text, op3_language_id, op4_line_dedup, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
+    op11_spelling_variants,
 )}
 
 WORDS7 = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: crc32 of four bits at a time (the usual reversed polynomial), and of a text's UTF-8 by it.
+NIBBLES = [0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+           0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+CRC32 = r"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    string_split(regexp_replace(hex(encode({0})), '(.)(.)', '\2\1', 'g'), ''), lambda d: strpos('0123456789ABCDEF', d)::BIGINT - 1)),
+    lambda c, d: xor(c >> 4, (""" + str(NIBBLES) + """::BIGINT[])[(xor(c, d) & 15) + 1])))"""
+
 ORACLES = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM found WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {CRC32.format("doc_id::VARCHAR || ':' || run")} AS h FROM runs),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+              ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+gaps AS (
+  SELECT word, n, i, length(word) AS size, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.rest
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.rest),
+best AS (
+  SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM near),
+formed AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN other END AS form,
+         CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (word)),
+way AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.at WHERE f.form IS NOT NULL),
+ends AS (SELECT way.word, way.at AS root FROM way JOIN formed f ON f.word = way.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
     "op4_line_dedup": r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 solid AS (
