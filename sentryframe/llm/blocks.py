@@ -11,76 +11,74 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Columns that a unit's function does not see.
-UNIT = ("_cell", "_a", "_b")
+#: Place of a unit among those of its cell, and of a row in it: 0 for homes of block _a, else 1.
+PLACE = ("_a", "_b", "_side")
 
 
-def deal(rows: DataFrame, cell: str, home: str, spread: Column, block: int, weight: Column | None = None) -> DataFrame:
-    """The rows once per unit they take part in, as ``_cell, _a, _b, _side`` and the other columns.
+def blocks(homes: Column, guests: Column, block: int) -> tuple[Column, Column]:
+    """Numbers of blocks of a cell's homes and guests; the guests of a small cell (0) join its only unit."""
+    count = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    return count(homes), F.when(homes + guests <= block, 0).otherwise(count(guests))
 
-    ``_side`` 0 are the homes of block ``_a``; side 1 meets them.  Homes of a unit with
-    ``_a == _b`` also meet each other.  ``spread`` is a hash that cuts a cell into blocks,
-    ``block`` the sum of weights (one each by default) that a block holds, about.
+
+def turns(home: Column, homes: Column, guests: Column) -> Column:
+    """The turns of a row in a cell of so many blocks, one unit each: to be exploded."""
+    return F.sequence(F.lit(0), F.when(home, homes + guests - 1).otherwise(homes - 1))
+
+
+def place(home: Column, turn: Column, spread: Column, homes: Column, guests: Column) -> list[Column]:
+    """``_a, _b, _side`` of a row at a turn.  ``spread`` is a hash that cuts the cell into blocks.
+
+    Homes of a unit with ``_a == _b`` meet each other; in every unit side 0 meets side 1.
     """
-    weight = F.lit(1.0) if weight is None else weight
-    sized = rows.withColumn("_w", weight).groupBy(cell).agg(
-        F.sum(F.when(F.col(home), F.col("_w")).otherwise(0.0)).alias("_h"),
-        F.sum(F.when(~F.col(home), F.col("_w")).otherwise(0.0)).alias("_g"),
-    ).where(F.col("_h") > 0).select(
-        F.col(cell).alias("_cell"),
-        F.ceil(F.col("_h") / block).cast("int").alias("_nh"),
-        # Guests of a small cell join its only unit.
-        F.when(F.col("_h") + F.col("_g") <= block, 0).otherwise(F.ceil(F.col("_g") / block)).cast("int").alias("_ng"))
-    placed = rows.join(sized, rows[cell] == F.col("_cell")).withColumn(
-        "_at", F.when(F.col(home), F.pmod(spread, "_nh")).when(F.col("_ng") > 0, F.col("_nh") + F.pmod(spread, "_ng")).cast("int"))
-    unit = lambda a, b, side: F.struct(a.alias("_a"), b.alias("_b"), side.alias("_side"))
-    one, at = F.lit(1), F.col("_at")
-    as_home = F.transform(F.sequence(F.lit(0), F.col("_nh") + F.col("_ng") - one), lambda y: unit(
-        F.least(at, y), F.greatest(at, y), F.when(at <= y, 0).otherwise(1)))
-    as_guest = F.transform(F.sequence(F.lit(0), F.col("_nh") - one), lambda a: unit(
-        a, F.coalesce(at, a), one))
-    return placed.withColumn("_unit", F.explode(F.when(F.col(home), as_home).otherwise(as_guest))).select(
-        "_cell", "_unit.*", *[F.col(c) for c in rows.columns if c not in (cell, home)])
-
-
-def each_unit(dealt: DataFrame, function: Callable[[pa.Table, int, bool], pa.RecordBatch | None], schema: str) -> DataFrame:
+    mine = F.pmod(spread, homes)
+    theirs = F.when(guests > 0, homes + F.pmod(spread, F.greatest(guests, F.lit(1)))).otherwise(turn)
+    return [
+        F.when(home, F.least(mine, turn)).otherwise(turn).cast("int").alias("_a"),
+        F.when(home, F.greatest(mine, turn)).otherwise(theirs).cast("int").alias("_b"),
+        F.when(home & (mine <= turn), 0).otherwise(1).alias("_side"),
+    ]
+
+
+def each_unit(dealt: DataFrame, cell: list[str], function: Callable[[pa.Table, int, bool], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``function(rows of the unit, homes first; number of homes; whether they meet each other)`` for every unit.
 
-    Rows stream sorted by unit: a task holds one unit at a time.
+    ``cell`` are integer columns, the most telling first.  Rows stream sorted by unit: a task holds
+    one unit at a time.
     """
-    order = [*UNIT, "_side"]
-    columns = [c for c in dealt.columns if c not in order]
+    unit = [*cell, *PLACE[:2]]
+    columns = [c for c in dealt.columns if c not in (*unit, PLACE[2])]
 
-    def results(parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        homes = table.num_rows - sum(table["_side"].to_pylist())
-        return function(table.select(columns), homes, table["_a"][0].as_py() == table["_b"][0].as_py()) if homes else None
+    def made(parts: list[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        homes = int((table[PLACE[2]].to_numpy() == 0).sum())
+        if homes and (out := function(table.select(columns), homes, inner)) is not None:
+            yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in UNIT)))
-            start = 0
-            for at in range(len(keys) + 1):
-                if at < len(keys) and keys[at] == head:
-                    continue
-                if at > start:
-                    held.append(batch.slice(start, at - start))
-                if at == len(keys):
-                    break
-                if held and (made := results(held)) is not None:
-                    yield made
-                held, head, start = [], keys[at], at
-        if held and (made := results(held)) is not None:
-            yield made
-
-    return dealt.repartition(*UNIT).sortWithinPartitions(*order).mapInArrow(run, schema)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in unit])
+            for lo, hi in zip(starts := [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()], [*starts[1:], batch.num_rows]):
+                key = keys[:, lo].tolist()
+                if key != head and held:
+                    yield from made(held, head[-1] == head[-2])
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                head = key
+        if held:
+            yield from made(held, head[-1] == head[-2])
+
+    return dealt.repartition(*unit).sortWithinPartitions(*unit, PLACE[2]).mapInArrow(run, schema)
 
 
 ship(__name__)

@@ -4,15 +4,16 @@
 2. A word is its vector of letter counts.  One inserted or deleted letter moves that vector by a
    squared distance of 1, one replaced letter by 2, so only pairs at most 2 apart, of equal or
    adjacent length, can be near.
-3. Length blocks are cut further by the sums of six classes of letters, which an edit moves
-   as little: a word is at home in its cell of (length, class sums) and a guest in the cells one
-   edit shorter, or as long and earlier in order.  Cells are dealt in blocks (``blocks``).
+3. Length blocks are cut further by the sums of ten classes of letters, which an edit moves as
+   little: a word is at home in its cell of (length, class sums) and a guest in the cells one
+   letter shorter, or as long and earlier in order.  Which cells meet is settled on the table of
+   cells; their words are then dealt in blocks (``blocks``) by one shuffle.
 4. In a unit, a matrix product of the letter counts gives all squared distances, and the pairs
    left are verified position by position.  A unit returns sums per word, no pairs.
 5. A word's form is its near word that occurs most; roots follow forms word by word.
 
-Work grows with the pairs inside neighbouring cells, what is shuffled with the words (22 short
-rows each) and, for cells beyond a block, with the pairs of blocks.
+Work grows with the pairs inside neighbouring cells, what is shuffled with the words (at most 56
+short rows each) and, for cells beyond a block, with the pairs of blocks.
 
 Null text has no words.  A null id alters no word.  Repeated rows count again.  Ties between
 forms go to the smallest word in code-point order.  Other columns are not read, so their names
@@ -30,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, each_unit
+from .blocks import blocks, each_unit, place, turns
 from .common import cut, map_batches, ship
 
-#: Words that a task sums before it hands them on, and words of a block.
-HELD, BLOCK = 200_000, 1024
+#: Words that a task sums before it hands them on, words of a block, and homes multiplied at once.
+HELD, BLOCK, ROWS = 200_000, 4096, 256
 
-#: Letters of about a sixth of running text each; all other letters are the sixth class.
-CLASSES = ("em", "ai", "ot", "nru", "shl")
+#: Classes of common letters; all other letters are one more class.
+CLASSES = ("e", "t", "a", "oy", "i", "nv", "sp", "rg", "lh")
+
+#: Weight of a class in a cell's key.  Counts of 128 and more run over and merge cells of one length,
+#: which costs comparisons only: words one edit apart differ by one move, whatever the key means.
+WEIGHTS = tuple(1 << 7 * i for i in range(len(CLASSES)))
 
 #: Letters: a-z, then the code points from C0 to FF.
 LETTERS = 26 + 64
@@ -92,25 +97,36 @@ def count_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def _cells(words: DataFrame) -> DataFrame:
-    """Each word in its own cell and, as a guest, in those one edit away that come before it."""
-    length = F.length("word")
-    own = [length - F.length(F.translate("word", letters, "")) for letters in CLASSES]
-    sums = words.withColumn("_length", length).withColumn("_c", F.array(*own))
-    sums = sums.withColumn("_c", F.array_append("_c", F.col("_length") - F.aggregate("_c", F.lit(0), lambda x, y: x + y)))
-    n = len(CLASSES) + 1
+def _homes(words: DataFrame) -> DataFrame:
+    """The words with the cell they are at home in, ``size`` and ``key``."""
+    held = [F.length("word") - F.length(F.translate("word", letters, "")) for letters in CLASSES]
+    key = sum((n.cast("long") * F.lit(w).cast("long") for n, w in zip(held, WEIGHTS)), F.lit(0).cast("long"))
+    return words.withColumn("size", F.length("word")).withColumn("key", key)
+
 
-    def cell(size: Column, *moves: tuple[int, int]) -> Column:
-        by = dict(moves)
-        return F.concat_ws(",", size.cast("string"), *[(F.col("_c")[i] + by.get(i, 0)).cast("string") for i in range(n)])
+def _routes(homes: DataFrame, weight: Column) -> DataFrame:
+    """``size, key, to_size, to_key, home, homes, guests, turn``: where the words of a cell go.
 
-    # A letter of class i deleted; or replaced by one of a later class: that cell sorts before this one.
-    shorter = [F.when(F.col("_c")[i] > 0, cell(F.col("_length") - 1, (i, -1))) for i in range(n)]
-    replaced = [F.when(F.col("_c")[i] > 0, cell(F.col("_length"), (i, -1), (j, 1))) for i in range(n) for j in range(i + 1, n)]
-    place = lambda c, home: F.struct(c.alias("cell"), F.lit(home).alias("home"))
-    guest = F.transform(F.array_compact(F.array(*shorter, *replaced)), lambda c: place(c, False))
-    places = F.concat(F.array(place(cell(F.col("_length")), True)), guest)
-    return sums.select("word", "n", F.explode(places).alias("_p")).select("word", "n", "_p.cell", "_p.home")
+    A word of a deleted letter is a guest one letter shorter; a word of a replaced one in the cell
+    that holds a letter of a later class instead.
+    """
+    cells = cut(homes.groupBy("size", "key").agg(F.sum(weight).alias("heavy")))
+    moves = [(-1, -w) for w in (*WEIGHTS, 0)]
+    moves += [(0, v - w) for i, w in enumerate(WEIGHTS) for v in (*WEIGHTS[i + 1:], 0)]
+    # One constant array: the moves are added after the explosion.
+    steps = F.array(*[F.struct(F.lit(by).alias("by"), F.lit(of).cast("long").alias("of")) for by, of in moves])
+    guests = cells.withColumn("_m", F.explode(steps)).select(
+        "size", "key", "heavy", (F.col("size") + F.col("_m.by")).alias("to_size"), (F.col("key") + F.col("_m.of")).alias("to_key"))
+    there = cells.select(F.col("size").alias("to_size"), F.col("key").alias("to_key"), F.col("heavy").alias("held"))
+    met = cut(guests.join(there, ["to_key", "to_size"]))
+    own = cells.select("size", "key", "heavy", F.col("size").alias("to_size"), F.col("key").alias("to_key"))
+    load = met.groupBy("to_size", "to_key").agg(F.sum("heavy").alias("come"))
+    n_homes, n_guests = blocks(F.col("held"), F.coalesce("come", F.lit(0.0)), BLOCK)
+    sized = there.join(load, ["to_size", "to_key"], "left").select(
+        "to_size", "to_key", n_homes.alias("homes"), n_guests.alias("guests"))
+    ways = met.select("size", "key", "to_size", "to_key", F.lit(False).alias("home")).unionByName(
+        own.select("size", "key", "to_size", "to_key", F.lit(True).alias("home"))).join(sized, ["to_size", "to_key"])
+    return ways.withColumn("turn", F.explode(turns(F.col("home"), F.col("homes"), F.col("guests"))))
 
 
 def letter_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,14 +143,27 @@ def near_pairs(words: list[str], homes: int, inner: bool) -> tuple[np.ndarray, n
     """Positions of the pairs exactly one edit apart, of the first ``homes`` words (of one length)
     with the others, and with each other if ``inner``."""
     counts, letters, start = letter_counts(words)
-    square = (counts * counts).sum(1)
-    apart = square[:homes, None] + square[None, :] - 2.0 * (counts[:homes] @ counts.T)
-    close = apart <= 2.0
-    close[:, :homes] &= np.triu(np.ones((homes, homes), bool), 1) if inner else False
-    left, right = np.nonzero(close)
     size = int(start[1] - start[0])
-    step, keep = max(1, GATHER // (size + 1)), np.zeros(len(left), bool)
-    spread = np.arange(size)
+    # Whole numbers below 2^24: single precision is exact.
+    counts = counts[:, counts.any(0)].astype(np.float32 if size < 2000 else np.float64)
+    square, one = (counts * counts).sum(1, keepdims=True), np.ones((len(words), 1), counts.dtype)
+    left_side, right_side = np.hstack([counts[:homes], square[:homes], one[:homes]]), np.hstack([-2 * counts, one, square]).T
+    first, spread, out = 0 if inner else homes, np.arange(size), []
+    for lo in range(0, homes, ROWS):
+        skip = max(first, lo if inner else 0)
+        apart = left_side[lo:lo + ROWS] @ right_side[:, skip:]
+        a, b = np.nonzero(apart <= 2)
+        a, b = a + lo, b + skip
+        later = b > a
+        out.append(_verified(a[later], b[later], letters, start, spread))
+    left, right = (np.concatenate(x) for x in zip(*out))
+    return left, right
+
+
+def _verified(left, right, letters, start, spread) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are one edit apart; words of ``right`` are as long as those of ``left`` or one letter longer."""
+    size, keep = len(spread), np.zeros(len(left), bool)
+    step = max(1, GATHER // (size + 1))
     for lo in range(0, len(left), step):
         a, b = left[lo:lo + step], right[lo:lo + step]
         first = letters[start[a][:, None] + spread]
@@ -157,21 +186,26 @@ def near_words(words: DataFrame) -> DataFrame:
     def unit(table: pa.Table, homes: int, inner: bool) -> pa.RecordBatch | None:
         names, n = table["word"].to_pylist(), table["n"].to_pylist()
         left, right = near_pairs(names, homes, inner)
-        found: dict[int, list] = {}
-        for a, b in zip(left.tolist(), right.tolist()):
-            for x, y in ((a, b), (b, a)):
-                one = found.setdefault(x, [0, 0, ""])
-                one[0] += 1
-                if (-n[y], names[y]) < (-one[1], one[2]):
-                    one[1:] = n[y], names[y]
-        if not found:
+        if not len(left):
             return None
+        one, other = np.concatenate([left, right]), np.concatenate([right, left])
+        met = np.unique(one)
+        order = np.array(sorted(met.tolist(), key=lambda x: (-n[x], names[x])))
+        rank, best = np.empty(len(names), np.int64), np.full(len(names), len(names))
+        rank[order] = np.arange(len(order))
+        np.minimum.at(best, one, rank[other])
+        first = order[best[met]].tolist()
         return pa.record_batch(
-            [pa.array([names[x] for x in found]), *(pa.array(c) for c in zip(*found.values()))], ["word", "n_near", "best_n", "best"])
+            [pa.array([names[x] for x in met.tolist()]), pa.array(np.bincount(one)[met]), pa.array([n[x] for x in first]),
+             pa.array([names[x] for x in first])], ["word", "n_near", "best_n", "best"])
 
+    homes = cut(_homes(words))
     # A long word weighs by its letters: they are held beside the counts.
-    dealt = deal(_cells(words), "cell", "home", F.xxhash64("word"), BLOCK, F.greatest(F.lit(1.0), F.length("word") / 256.0))
-    parts = each_unit(dealt, unit, "word string, n_near long, best_n long, best string")
+    routes = _routes(homes, F.greatest(F.lit(1.0), F.col("size") / 256.0))
+    way = homes.join(routes, ["size", "key"]).select(
+        F.col("to_key").alias("key"), F.col("to_size").alias("size"), "word", "n",
+        *place(F.col("home"), F.col("turn"), F.xxhash64("word"), F.col("homes"), F.col("guests")))
+    parts = each_unit(way, ["key", "size"], unit, "word string, n_near long, best_n long, best string")
     return parts.groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("w"))).alias("b"),
     ).select("word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.w").alias("best"))
