@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, linededup, minhash, pieces, quality, secrets, spelling, urls
-from .common import read
+from . import chat, codes, decontaminate, html, langid, linededup, minhash, pieces, quality, secrets, spelling, urls, vectors
+from .common import cut, read
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,22 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(read(spark, sf_dir, "documents"), typo_every=31))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = codes.compress(read(spark, sf_dir, "embeddings"), keep=("label",))
+    coded = cut(coded)
+    of_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(of_label, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", F.array_join(F.transform("code", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "").alias("code"), "error",
+        "label_error", F.lit(codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_html_text, op3_language_id, op4_line_dedup, op5_url_filter, op6_secret_scan, op7_decontaminate, op8_sentencepiece, op9_quality_rules, op10_chat_format,
-    op11_spelling_variants,
+    op11_spelling_variants, op12_vector_codes, op13_embedding_dedup,
 )}
 
 WORDS7 = r"list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -119,7 +132,51 @@ CRC32 = r"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tr
     string_split(regexp_replace(hex(encode({0})), '(.)(.)', '\2\1', 'g'), ''), lambda d: strpos('0123456789ABCDEF', d)::BIGINT - 1)),
     lambda c, d: xor(c >> 4, (""" + str(NIBBLES) + """::BIGINT[])[(xor(c, d) & 15) + 1])))"""
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _code_rounds(rounds: int) -> str:
+    """The rounds of op12: assignments a1, a2, ... to the nearest entry and codebooks b1, b2, ..."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min((d, e)) AS best FROM (
+    SELECT vec_id, label, parts.p, parts.x, e, list_sum(list_transform(range(1, len(parts.x) + 1),
+           lambda i: (parts.x[i] - y[i]) * (parts.x[i] - y[i])))::BIGINT AS d FROM parts JOIN b{k} ON b{k}.p = parts.p)
+  GROUP BY ALL)""")
+        if k < rounds:
+            out.append(f"""
+s{k} AS (SELECT p, best[2] AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL),
+m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{k} GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.y, b{k}.y) AS y FROM b{k} LEFT JOIN m{k} USING (p, e))""")
+    return ",".join(out)
+
+
 ORACLES = {
+    "op12_vector_codes": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {FINITE}),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM kept, unnest(range(8)) AS t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16),
+b0 AS (SELECT p, e, x AS y FROM parts JOIN first USING (vec_id)),{_code_rounds(6)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error
+  FROM a6 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books""",
+    "op13_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE {FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+named AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.x = named.vec_id)::BIGINT AS n_links, component_id,
+       vec_id = component_id AS kept FROM named""",
     "op11_spelling_variants": rf"""
 WITH RECURSIVE found AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
