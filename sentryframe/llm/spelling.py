@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, each_unit, place, turns
-from .common import cut, map_batches, ship
+from .common import cut, map_tasks, ship
 
 #: Words that a task sums before it hands them on, words of a block, and homes multiplied at once.
 HELD, BLOCK, ROWS = 200_000, 4096, 256
@@ -91,9 +91,8 @@ def count_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
         if total:
             yield sums(total)
 
-    # map_batches sets the size of Arrow batches; the counting itself runs over a whole partition.
     slim = docs.select(F.col(doc_id).alias("name"), F.col(text).alias("value"))
-    counted = map_batches(slim, count, "word string, n long", whole=True)
+    counted = map_tasks(slim, count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
