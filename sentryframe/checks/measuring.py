@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import text as T
 from ..functions.network import is_public_ip
-from ..plans import correlate, coverage, environment, hunt, techniques, triage
+from ..plans import correlate, coverage, environment, hubs, hunt, techniques, triage
 from ..plans.rules import REGISTRY
 from . import projection as P
 from .hunting import (CONFIG, H, _CMD, _IMAGE, _PARENT, any_match, inlist, lit, names_matching)
@@ -487,6 +487,16 @@ def c08(spark, sf):
     return connected_components(found.findings, links, "finding_id", "left_id", "right_id")
 
 
+@query("c08_spanning_components", _NODES + _GROUPS + " SELECT id AS finding_id, component FROM comp")
+def c08_spanning(spark, sf):
+    from ..operators.components import connected_components
+
+    tel = P.telemetry(spark, sf)
+    found = hunt.run_hunt(tel, _LINK_RULES, CONFIG)
+    links = hubs.spanning_links(found.findings, found.evidence, tel, _LINK_CONFIG)
+    return connected_components(found.findings, links, "finding_id", "left_id", "right_id")
+
+
 @query("c09_c11_cases", _NODES + _GROUPS + """,
   g AS (SELECT component, min((us, rule, id)) AS first, count(*) AS n, max(sev) AS sev FROM nodes JOIN comp USING (id) GROUP BY 1),
   k AS (SELECT component, row_number() OVER (ORDER BY first) AS i FROM g WHERE n >= 2 OR sev >= 3)
