@@ -553,6 +553,13 @@ def d23(spark, sf):
         F.count(F.lit(1)).alias("findings"), F.sum("evidence_count").alias("evidence"))
 
 
+@query("d23_one_pass_hunt", _all_rules_sql())
+def d23_one_pass(spark, sf):
+    found = endpoint_hunt(spark, sf, one_pass=True).findings
+    return found.groupBy("rule_id", "severity").agg(
+        F.count(F.lit(1)).alias("findings"), F.sum("evidence_count").alias("evidence"))
+
+
 _SINGLE_ROW_HUNT = P.with_tables("process", "control") + f""",
   f AS (SELECT 'ATH-001' AS rule_id, event_id, us, 3 AS severity_rank FROM process WHERE {_PARENT} IN {inlist(V.OFFICE_APPLICATIONS)}
       AND {_IMAGE} IN {inlist(V.SCRIPT_INTERPRETERS)}

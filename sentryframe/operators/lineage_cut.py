@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write the rows to the checkpoint folder and read on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

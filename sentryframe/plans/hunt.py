@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..operators.lineage_cut import shared_folder
 from ..schemas import EVIDENCE_COLUMNS, EVIDENCE_CONTEXT, FINDING_SCHEMA, Telemetry
-from ..vocab import PROCESS, SEVERITY_RANK
+from ..vocab import CONTROL, PROCESS, SEVERITY_RANK
 from .rules import REGISTRY, HuntConfig, Rule, RuleOutput, rows_as_findings
 
 
+#: The ids of the rules that read a row, beside the row.
+_READ_BY = "_read_by"
+
+
 @dataclass
 class HuntResult:
     """Findings and evidence of every rule that could be planned, and what failed."""
@@ -37,21 +44,64 @@ def _chosen(rule_ids) -> list[Rule]:
     return [REGISTRY[r] for r in rule_ids]
 
 
+def sieve(telemetry: Telemetry, rules: list[Rule], config: HuntConfig | None = None) -> Callable[[Rule], Telemetry]:
+    """One pass over each table for all rules: the telemetry each rule needs to read.
+
+    The row tests that rules declare (``reads``) become one condition per table.  Rows that any
+    rule reads are written to the checkpoint folder as Parquet, each with the ids of those rules;
+    a rule then reads its rows from there, however often its plan refers to them.  A rule without
+    a row test for a table, or with one that does not fit the table, reads the table itself.
+    """
+    config, path = config or HuntConfig(), None
+    sifted: dict[str, tuple[set[str], DataFrame]] = {}
+    for name, table in telemetry.tables().items():
+        tests = {}
+        for rule in rules:
+            if name not in rule.reads:
+                continue
+            scope = F.col("source").isin(*rule.control_sources) if name == CONTROL and rule.control_sources else F.lit(True)
+            try:
+                table.select(scope & rule.reads[name](config))
+            except AnalysisException:
+                continue
+            tests[rule.rule_id] = scope & rule.reads[name](config)
+        if not tests:
+            continue
+        if path is None:
+            path = shared_folder(telemetry.spark, "sieve")
+        by = F.array_compact(F.array(*[F.when(test, F.lit(rule_id)) for rule_id, test in tests.items()]))
+        table.withColumn(_READ_BY, by).where(F.size(_READ_BY) > 0).write.parquet(f"{path}/{name}")
+        sifted[name] = set(tests), telemetry.spark.read.parquet(f"{path}/{name}")
+
+    def of(rule: Rule) -> Telemetry:
+        out = telemetry
+        for name, (ids, rows) in sifted.items():
+            if rule.rule_id in ids:
+                out = out.with_table(name, rows.where(F.array_contains(_READ_BY, rule.rule_id)).drop(_READ_BY))
+        return out
+
+    return of
+
+
 def run_hunt(
     telemetry: Telemetry,
     rule_ids: list[str] | None = None,
     config: HuntConfig | None = None,
     min_severity: str | None = None,
+    one_pass: bool = False,
 ) -> HuntResult:
     """Evaluate rules lazily and return one findings and one evidence table.
 
     An unknown rule id raises.  A rule that cannot be planned is recorded in ``errors`` and
-    the rest still run; for isolation at run time as well, see :func:`hunt_to`.
+    the rest still run; for isolation at run time as well, see :func:`hunt_to`.  With ``one_pass``
+    a job runs at once that reads every table a single time for all rules (:func:`sieve`).
     """
     outputs, run, errors = [], [], {}
-    for rule in _chosen(rule_ids):
+    chosen = _chosen(rule_ids)
+    of = sieve(telemetry, chosen, config) if one_pass else lambda rule: telemetry
+    for rule in chosen:
         try:
-            outputs.append(rule.run(telemetry, config))
+            outputs.append(rule.run(of(rule), config))
             run.append(rule.rule_id)
         except Exception as exc:  # noqa: BLE001 - one rule must not stop the others
             errors[rule.rule_id] = f"{type(exc).__name__}: {exc}"
