@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import instances
+from ..operators import instances, lifetimes
 from ..plans import correlate, evaluate, hunt, retrieve, statistics, techniques, triage
 from ..plans.rules import REGISTRY
 from . import projection as P
@@ -225,6 +227,34 @@ def j08(spark, sf):
     return instances.children(procs.where(F.lower("parent_process_name").isin(*V.OFFICE_APPLICATIONS)), procs)
 
 
+# Who held the slot: its latest start at or before the row (for a child, before it).
+_HELD = """coalesce(NOT (a.g <> '' AND b.g <> ''), true)"""
+
+
+@query("j05_network_to_holder", P.with_tables("network", "process") + f""",
+  a AS (SELECT event_id, us, process_guid AS g, device, process_id AS pid FROM network), b AS (SELECT event_id, us, process_guid AS g, device, process_id AS pid FROM process),
+  st AS (SELECT device, pid, us, max(event_id) AS event_id FROM b GROUP BY ALL)
+  SELECT a.event_id AS net_event_id, b.event_id AS proc_event_id, false AS inferred FROM a JOIN b ON a.g <> '' AND a.g = b.g
+  UNION ALL SELECT a.event_id, st.event_id, true FROM a ASOF JOIN st ON a.device = st.device AND a.pid = st.pid AND a.us >= st.us
+    JOIN b ON b.event_id = st.event_id WHERE {_HELD}""")
+def j05_holder(spark, sf):
+    ev = P.events(spark, sf)
+    return lifetimes.network_to_holder(P.network(ev), P.processes(ev))
+
+
+@query("j08_held_children", P.with_tables("process") + f""",
+  s AS (SELECT event_id FROM process WHERE {_PARENT} IN {inlist(V.OFFICE_APPLICATIONS)}),
+  a AS (SELECT event_id, us, parent_process_guid AS g, device, parent_process_id AS pid FROM process), b AS (SELECT event_id, us, process_guid AS g, device, process_id AS pid FROM process),
+  st AS (SELECT device, pid, us, max(event_id) AS event_id FROM b GROUP BY ALL),
+  j AS (SELECT b.event_id AS seed_id, a.event_id, false AS inferred FROM a JOIN b ON a.g <> '' AND a.g = b.g
+    UNION ALL SELECT st.event_id, a.event_id, true FROM a ASOF JOIN st ON a.device = st.device AND a.pid = st.pid AND a.us > st.us
+      JOIN b ON b.event_id = st.event_id WHERE {_HELD})
+  SELECT * FROM j WHERE seed_id IN (SELECT event_id FROM s)""")
+def j08_held(spark, sf):
+    procs = P.processes(P.events(spark, sf))
+    return lifetimes.held_children(procs.where(F.lower("parent_process_name").isin(*V.OFFICE_APPLICATIONS)), procs)
+
+
 @query("j09_slot_candidates", P.with_tables("network", "process") + """
   SELECT device, process_id, process_guid AS identity, arg_min(event_id, (us, event_id)) AS event_id, count(*) AS rows FROM process
   WHERE (device, process_id) IN (SELECT (device, process_id) FROM network) GROUP BY ALL""")
@@ -384,26 +414,27 @@ def j22(spark, sf):
 
 @query("w07_time_prefix", P.with_tables("logon", "control", "network", "process") + """,
   b AS (SELECT min(us) AS lo, max(us) AS hi FROM ev)
-  SELECT 'logon' AS "table", count(*) AS rows FROM logon, b WHERE us <= lo + (hi - lo) * 0.25 UNION ALL
-  SELECT 'control', count(*) FROM control, b WHERE us <= lo + (hi - lo) * 0.25""")
+  """ + " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows FROM {t}, b WHERE us <= lo + (hi - lo) * 0.25""" for t in ("logon", "control", "network", "process")))
 def w07(spark, sf):
     part = retrieve.time_prefix(P.telemetry(spark, sf), 0.25)
     one = lambda df, n: df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"))
-    return one(part.logons, "logon").unionByName(one(part.controls, "control"))
+    return reduce(DataFrame.unionByName, [one(df, name) for name, df in part.tables().items()])
 
 
-@query("p11_timeline", P.with_tables("logon") + """
-  SELECT event_id, us AS "timestamp" FROM logon WHERE device = 'H3' ORDER BY us, event_id LIMIT 50""")
+@query("p11_timeline", P.with_tables("logon", "control", "network", "process") + " " + " UNION ALL ".join(
+    f"""SELECT event_id, us AS "timestamp", event_type FROM {t}""" for t in ("logon", "control", "network", "process")))
 def p11(spark, sf):
     from ..sources.canonical import unified
 
-    return retrieve.timeline(unified(P.telemetry(spark, sf)), device="H3", event_type="logon", limit=50).select("event_id", us("timestamp"))
+    return retrieve.timeline(unified(P.telemetry(spark, sf))).select("event_id", us("timestamp"), "event_type")
 
 
-@query("p12_search_processes", P.with_tables("process") + f"""
-  SELECT event_id FROM process WHERE regexp_matches(command_line, {lit('(?i)delete|stop')}) ORDER BY us, event_id LIMIT 25""")
+@query("p12_search_processes", P.with_tables("process") + f""",
+  h AS (SELECT * FROM process WHERE regexp_matches(command_line, {lit('(?i)delete|stop')}))
+  SELECT event_id, (SELECT count(*) FROM h) AS total FROM h""")
 def p12(spark, sf):
-    return retrieve.search_processes(P.processes(P.events(spark, sf)), contains="delete|stop")[0].select("event_id")
+    found, total = retrieve.search_processes(P.processes(P.events(spark, sf)), contains="delete|stop", limit=None)
+    return found.select("event_id", total.scalar().alias("total"))
 
 
 @query("p13_events_by_id", P.with_tables("logon", "network") + """
@@ -498,12 +529,12 @@ def a34(spark, sf):
 
 
 @query("a35_incident_match", _MEMBERS + """,
-  a AS (SELECT 'I' || (k % 9) AS incident_id, CASE WHEN k % 9 = 8 THEN NULL ELSE 'p' || n END AS event_id FROM ev WHERE kind IN ('view', 'purchase') AND n % 40 = 0),
+  a AS (SELECT 'I' || (k % 9) AS incident_id, CASE WHEN k % 9 = 8 THEN NULL ELSE 'p' || n END AS event_id FROM ev WHERE kind IN ('view', 'purchase')),
   h AS (SELECT incident_id, count(a.event_id) AS anchored, count(DISTINCT case_id) AS cases FROM a LEFT JOIN members m USING (event_id) GROUP BY 1)
   SELECT incident_id, CASE WHEN anchored = 0 THEN 'unresolved' WHEN cases = 0 THEN 'undetected' WHEN cases > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM h""")
 def a35(spark, sf):
     _, found = _two_rules(spark, sf)
-    ev = P.events(spark, sf).where("event_type IN ('view', 'purchase') AND event_id % 40 = 0")
+    ev = P.events(spark, sf).where("event_type IN ('view', 'purchase')")
     anchors = ev.select(F.concat(F.lit("I"), (F.col("k") % 9).cast("string")).alias("incident_id"),
                         F.when(F.col("k") % 9 != 8, F.concat(F.lit("p"), F.col("event_id").cast("string"))).alias("event_id"))
     return evaluate.incident_match(anchors, _host_cases(found.findings), found.evidence).select("incident_id", "status")
@@ -682,8 +713,8 @@ def a49(spark, sf):
 
 
 def _sessions(spark, sf):
-    """One declared session per tenth event: its user, a six-hour window, some skipped."""
-    ev = P.events(spark, sf).where("event_id % 10 = 0")
+    """One declared session per purchase: its user, from a minute to 30 hours after it, some skipped."""
+    ev = P.events(spark, sf).where("event_type = 'purchase'")
     return ev.select(
         F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id"), F.array(F.concat(F.lit("U"), F.col("user_id").cast("string"))).alias("principals"),
         (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("start"), (F.col("ts") + F.expr("INTERVAL 30 HOURS")).alias("end"),
@@ -691,7 +722,7 @@ def _sessions(spark, sf):
 
 
 _SESSIONS = P.with_tables("control", "logon") + f""",
-  s AS (SELECT 's' || n AS session_id, 'u' || user_id AS p, us + 60000000 AS lo, us + {30 * H} AS hi, CASE WHEN k % 5 = 0 THEN 'skipped' ELSE 'done' END AS status FROM ev WHERE n % 10 = 0),
+  s AS (SELECT 's' || n AS session_id, 'u' || user_id AS p, us + 60000000 AS lo, us + {30 * H} AS hi, CASE WHEN k % 5 = 0 THEN 'skipped' ELSE 'done' END AS status FROM ev WHERE kind = 'purchase'),
   act AS (SELECT event_id, us, actor AS p FROM control UNION ALL SELECT event_id, us, "user" FROM logon)"""
 
 
@@ -704,12 +735,21 @@ def a45(spark, sf):
 
 @query("a45_unclaimed_by_actor", _SESSIONS + """,
   u AS (SELECT * FROM act WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.p = act.p AND act.us BETWEEN lo AND hi))
-  SELECT p AS principal, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, principal LIMIT 25""")
+  SELECT p AS principal, count(*) AS n FROM u GROUP BY 1""")
 def a45_unclaimed(spark, sf):
     return evaluate.unclaimed_activity(_sessions(spark, sf), P.telemetry(spark, sf))["by_actor"]
 
 
-@query("a46_a47_matched_controls")
+@query("a46_a47_matched_controls", P.with_tables("process") + f""",
+  c AS (SELECT event_id, us, us // {24 * H} AS day, device, regexp_matches(lower(command_line), 'net |sc |taskkill') AS is_admin, md5('7:' || event_id) AS h FROM process),
+  d AS (SELECT *, row_number() OVER (PARTITION BY is_admin, day, device ORDER BY h, event_id) AS r FROM c),
+  t AS (SELECT *, row_number() OVER (PARTITION BY is_admin ORDER BY r, h, event_id) AS q FROM d),
+  picked AS (SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS i FROM t WHERE q <= CASE WHEN is_admin THEN 8 ELSE 32 END),
+  seed AS (SELECT event_id AS case_id, us, row_number() OVER (ORDER BY us, event_id) - 1 AS i FROM process WHERE lower(process_name) = 'whoami.exe'),
+  cover AS (SELECT day, min(us) AS lo, max(us) AS hi FROM c GROUP BY 1),
+  m AS (SELECT p.event_id, s.case_id, p.us - {H // 6} AS b, p.us + {5 * (H // 6)} AS e, lo, hi FROM picked p JOIN seed s ON p.i % (SELECT count(*) FROM seed) = s.i JOIN cover USING (day)),
+  f AS (SELECT *, CASE WHEN b < lo THEN lo - b WHEN e > hi THEN hi - e ELSE 0 END AS shift FROM m)
+  SELECT event_id, case_id, greatest(b + shift, lo) AS start, least(e + shift, hi) AS "end" FROM f""")
 def a46(spark, sf):
     procs = P.processes(P.events(spark, sf))
     admin = F.lower("command_line").rlike("net |sc |taskkill")
@@ -741,12 +781,16 @@ def u01(spark, sf):
     return unified(P.telemetry(spark, sf)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first"))
 
 
-@query("u02_without", P.with_tables("logon") + " SELECT event_id FROM logon WHERE action = 'success'")
+@query("u02_without", P.with_tables("logon", "control", "network", "process") + """
+  SELECT event_id, 'logon' AS "table" FROM logon WHERE action <> 'failure' UNION ALL SELECT event_id, 'control' FROM control
+  UNION ALL SELECT event_id, 'network' FROM network WHERE remote_port <> 80 UNION ALL SELECT event_id, 'process' FROM process""")
 def u02(spark, sf):
     from ..sources.canonical import without
 
     tel = P.telemetry(spark, sf)
-    return without(tel, tel.logons.where("action = 'failure'")).logons.select("event_id")
+    ids = tel.logons.where("action = 'failure'").select("event_id").unionByName(tel.network.where("remote_port = 80").select("event_id"))
+    left = without(tel, ids)
+    return reduce(DataFrame.unionByName, [df.select("event_id", F.lit(name).alias("table")) for name, df in left.tables().items()])
 
 
 @query("u03_label_overlap", P.with_tables("process") + f""", {_LABEL_SQL}, {_FOUND}

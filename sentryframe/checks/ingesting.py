@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -356,7 +358,8 @@ def s14(spark, sf):
     return evaluate.build_label_refs(raw, ["user", "k"], "ts").select("ref", F.datediff("day", F.lit("1970-01-01")).alias("day"))
 
 
-@query("s16_merge_telemetry", P.with_tables("logon", "control", "rbac") + " SELECT 'control' AS \"table\", (SELECT count(*) FROM control) + (SELECT count(*) FROM rbac) AS rows UNION ALL SELECT 'logon', count(*) FROM logon")
+@query("s16_merge_telemetry", P.with_tables("logon", "control", "rbac", "network", "process") + " SELECT 'control' AS \"table\", (SELECT count(*) FROM control) + (SELECT count(*) FROM rbac) AS rows"
+       + "".join(f" UNION ALL SELECT '{t}', count(*) FROM {t}" for t in ("logon", "network", "process")))
 def s16(spark, sf):
     from ..schemas import empty_telemetry
     from ..sources.canonical import merge_telemetry
@@ -364,7 +367,7 @@ def s16(spark, sf):
     ev = P.events(spark, sf)
     merged = merge_telemetry([P.telemetry(spark, sf), empty_telemetry(spark).with_table("control", P.rbac_controls(ev))])
     one = lambda df, n: df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"))
-    return one(merged.controls, "control").unionByName(one(merged.logons, "logon"))
+    return reduce(DataFrame.unionByName, [one(df, name) for name, df in merged.tables().items()])
 
 
 @query("s17_split_by_delivery", _EV + """

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -39,14 +41,14 @@ def summaries(spark, sf):
     return unified(P.telemetry(spark, sf)).select("event_id", "summary")
 
 
-@query("p10_slice", P.with_tables("logon") + f"""
-  SELECT event_id FROM logon WHERE us BETWEEN 1704067200000000 + {24 * H} AND 1704067200000000 + {96 * H}
-    AND device IN ('H1', 'H2', 'H3')""")
+@query("p10_slice", P.with_tables("logon", "control", "network", "process") + " " + " UNION ALL ".join(f"""
+  SELECT event_id, '{t}' AS "table" FROM {t} WHERE us BETWEEN 1704067200000000 + {24 * H} AND 1704067200000000 + {96 * H}
+    AND device IN ('H1', 'H2', 'H3')""" for t in ("logon", "control", "network", "process")))
 def p10(spark, sf):
     from ..plans.retrieve import slice_telemetry
 
     part = slice_telemetry(P.telemetry(spark, sf), "2024-01-02 00:00:00", "2024-01-05 00:00:00", ["H1", "H2", "H3"])
-    return part.logons.select("event_id")
+    return reduce(DataFrame.unionByName, [df.select("event_id", F.lit(name).alias("table")) for name, df in part.tables().items()])
 
 
 @query("p14_calibration_documents", f"""

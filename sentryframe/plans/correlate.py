@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import instance_tag
@@ -20,6 +20,7 @@ from ..functions.time import micros
 from ..operators.components import connected_components
 from ..operators.lineage_cut import cut
 from ..operators.instances import join_instances, with_instance
+from ..operators.ranking import numbered
 from ..schemas import Telemetry
 from ..vocab import SEVERITIES, SEVERITY_RANK
 from .coverage import rule_channels
@@ -313,20 +314,11 @@ def group_cases(
 
 
 def number_cases(cases: DataFrame) -> DataFrame:
-    """``CASE-001`` onward in start order, without sorting all cases in one task.
-
-    Cases are ranked inside their start day; the days' sizes, a few rows, give each day its
-    offset.
-    """
-    day = F.date_trunc("day", F.col("first.first_seen"))
-    placed = cases.withColumn("day", day).withColumn(
-        "rank_in_day", F.row_number().over(Window.partitionBy("day").orderBy("first")))
-    sizes = placed.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("day")) - F.col("n")
-    numbered = placed.join(sizes.select("day", before.alias("before")), "day")
-    number = (F.col("before") + F.col("rank_in_day")).cast("long")
+    """``CASE-001`` onward in start order, without sorting all cases, or all of a day, in one task."""
+    ranked = numbered(cases, ["first"])
+    number = F.col("_n") + 1
     padded = F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))
-    return numbered.select("component", F.concat(F.lit("CASE-"), padded).alias("case_id"))
+    return ranked.select("component", F.concat(F.lit("CASE-"), padded).alias("case_id"))
 
 
 def case_attributes(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import numbered
 from ..schemas import Telemetry
 from .correlate import families_of
 from .techniques import map_techniques
@@ -416,41 +417,35 @@ def session_coverage(sessions: DataFrame, tel: Telemetry) -> DataFrame:
         .when(F.col("status") == "skipped", "skipped").when(rows > 0, "covered").otherwise("uncovered").alias("verdict"))
 
 
-def unclaimed_activity(sessions: DataFrame, tel: Telemetry, top: int = 25) -> dict[str, DataFrame]:
-    """Rows no session claims: the largest actors and actions, and the earliest samples."""
+def unclaimed_activity(sessions: DataFrame, tel: Telemetry, top: int | None = None) -> dict[str, DataFrame]:
+    """Rows no session claims: actors and actions, the largest first (``top`` of them if given), and the earliest samples."""
     rest = _activity(tel).join(session_activity(sessions, tel).select("event_id").distinct(), "event_id", "left_anti")
-    best = lambda c: rest.groupBy(c).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), c).limit(top)
+
+    def best(column: str) -> DataFrame:
+        sizes = rest.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column)
+        return sizes if top is None else sizes.limit(top)
+
     return {"rows": rest, "by_actor": best("principal"), "by_action": best("what"), "sample": rest.orderBy("timestamp", "event_id").limit(40)}
 
 
 def sample_controls(processes: DataFrame, n: int, seed: int = 0, admin: Column | None = None, admin_share: float = 0.2) -> DataFrame:
     """``n`` process events spread over (day, host), a fixed seed, some admin-looking.
 
-    Each cell is ordered by a seeded hash and the cells are dealt round by round, so the
-    choice is deterministic and does not depend on partitioning.
+    Each cell is ordered by a seeded digest and the cells are dealt round by round, so the
+    choice is deterministic and does not depend on partitioning.  No cell gives more than ``n``
+    rows: every task keeps its first ``n`` of a cell before the shuffle, so a hot host is cut
+    where it is read.
     """
     admin = F.lit(False) if admin is None else admin
-    order = F.xxhash64(F.lit(seed), F.col("event_id"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("event_id").cast("string")))
     rows = processes.select("event_id", "timestamp", "device", "user", admin.alias("is_admin"), order.alias("_h"))
     cell = Window.partitionBy("is_admin", F.to_date("timestamp"), "device").orderBy("_h", "event_id")
-    dealt = rows.withColumn("_round", F.row_number().over(cell))
+    dealt = rows.withColumn("_round", F.row_number().over(cell)).where(F.col("_round") <= n)
     wanted_admin = int(n * admin_share)
     take = lambda df, k: df.orderBy("_round", "_h", "event_id").limit(k)
     return take(dealt.where("is_admin"), wanted_admin).unionByName(take(dealt.where(~F.col("is_admin")), n - wanted_admin)).drop("_round", "_h")
 
 
-def _numbered(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """Adds ``_n``, the place of each row by time: ranked day by day, on the rows of the days before."""
-    day = F.to_date(ts).alias("_d")
-    before = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(day).agg(F.count(F.lit(1)).alias("_c")).select(
-        F.col("_d").alias("_day"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_d").orderBy(ts, tie)) - 1
-    placed = df.withColumn("_d", F.to_date(ts)).withColumn("_i", inside)
-    return placed.join(offsets, F.col("_d").eqNullSafe(F.col("_day"))).withColumn("_n", F.col("_i") + F.col("_before")).drop(
-        "_d", "_day", "_i", "_before")
-
-
 def match_windows(cases: DataFrame, controls: DataFrame, coverage: DataFrame) -> DataFrame:
     """Give each control its partner's duration and offset, kept inside the day's coverage.
 
@@ -460,8 +455,8 @@ def match_windows(cases: DataFrame, controls: DataFrame, coverage: DataFrame) ->
     """
     size = F.nullif(cases.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     us = F.unix_micros
-    paired = _numbered(controls, "timestamp", "event_id").withColumn("_n", F.col("_n") % size).join(
-        _numbered(cases, "seed_time", "case_id"), "_n")
+    paired = numbered(controls, ["timestamp", "event_id"]).withColumn("_n", F.col("_n") % size).join(
+        numbered(cases, ["seed_time", "case_id"]), "_n")
     begin = us("timestamp") - (us("seed_time") - us("start"))
     finish = begin + (us("end") - us("start"))
     placed = paired.withColumn("day", F.to_date("timestamp")).withColumn("_b", begin).withColumn("_e", finish).join(coverage, "day")

@@ -52,9 +52,9 @@ def timeline(unified: DataFrame, device=None, user=None, event_type=None, limit:
 
 
 def search_processes(
-    processes: DataFrame, device=None, name=None, contains=None, limit: int = 25
+    processes: DataFrame, device=None, name=None, contains=None, limit: int | None = 25
 ) -> tuple[DataFrame, DataFrame]:
-    """Earliest matches and the true total; ``contains`` is a case-blind pattern."""
+    """Earliest matches (all without a ``limit``) and the true total; ``contains`` is a case-blind pattern."""
     hits = processes
     if device is not None:
         hits = hits.where(F.col("device") == device)
@@ -62,7 +62,8 @@ def search_processes(
         hits = hits.where(F.lower("process_name") == name.lower())
     if contains is not None:
         hits = hits.where(F.coalesce("command_line", F.lit("")).rlike("(?i)" + contains))
-    return hits.orderBy("timestamp", "event_id").limit(limit), hits.agg(F.count(F.lit(1)).alias("total"))
+    ordered = hits.orderBy("timestamp", "event_id")
+    return ordered if limit is None else ordered.limit(limit), hits.agg(F.count(F.lit(1)).alias("total"))
 
 
 def _located(tel: Telemetry, ids: DataFrame, *columns: str) -> DataFrame:
