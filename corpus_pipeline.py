@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
-Null texts have no language and go at the first stage; other columns are passed on as they are.
+Null texts have no language and go at the first stage; other columns are passed on as they are,
+also those named like a result of an operator.  Of rows equal in id and text one stays; ties go to the
+smallest id.  Texts of any length are whole rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,35 +17,61 @@ from pyspark.sql import functions as F
 from sentryframe.llm import decontaminate, langid, linededup, minhash, pieces
 from sentryframe.llm.common import read
 from sentryframe.llm.queries import model_file
-from sentryframe.operators.lineage_cut import ensure_checkpoint_dir
+from sentryframe.operators.lineage_cut import cut, ensure_checkpoint_dir
+
+
+def _packed(docs: DataFrame, *plain: str) -> DataFrame:
+    """The ``plain`` columns, and all others in a struct ``doc``, so that none can clash with a result."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in plain]
+    return docs.select(*plain, F.struct(*others, F.lit(0).alias("row")).alias("doc"))
+
+
+def _unpacked(rows: DataFrame, like: DataFrame, *plain: str) -> DataFrame:
+    """The columns of ``like`` again."""
+    return rows.select(*(F.col(c) if c in plain else F.col("doc")[f"c{i}"].alias(c) for i, c in enumerate(like.columns)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     profiles = langid.learn(docs, ~langid.held_out())
-    judged = langid.identify(docs, profiles, keep=tuple(docs.columns))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    judged = langid.identify(_packed(docs, "text"), profiles, keep=("doc", "text"))
+    return _unpacked(judged.where(F.col("lang_pred") != langid.UNKNOWN), docs, "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated three-line windows go; so do documents that lose all their lines."""
-    found = linededup.dedup_lines(docs)
+    plain = ("doc_id", "text", "n_chars")
+    found = linededup.dedup_lines(_packed(docs, *plain))
     left = (F.col("n_removed") == 0) | (F.translate("text", linededup.BLANK, "") != "")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.where(left).withColumn("n_chars", changed).select(*docs.columns)
+    return _unpacked(found.where(left).withColumn("n_chars", changed), docs, *plain)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five words, similarity 0.8) the document with the smallest id stays."""
-    gone = minhash.components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """Of near-duplicates (five words, similarity 0.8) one row stays: of the smallest id, the first by text.
+
+    Rows without an id or without words are linked with nothing and stay.
+    """
+    plain = ("doc_id", "text")
+    found = cut(minhash.components(docs))
+    known = found.where("doc_id is not null and n_shingles > 0")
+    gone = known.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    again = known.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    worded = F.translate(F.coalesce("text", F.lit("")), linededup.BLANK, "") != ""
+    rows = _packed(docs, *plain).withColumn("key", F.when(worded, F.col("doc_id").cast("long")))
+    left = rows.join(gone, F.col("key") == F.col("id"), "left_anti")
+    # Only rows of an id that several rows share are shuffled with their texts.
+    once = left.join(again, F.col("key") == F.col("id"), "left_anti").select(*plain, "doc")
+    several = left.join(again, F.col("key") == F.col("id"), "left_semi")
+    order = F.struct("text", F.to_json("doc"))
+    first = several.groupBy("key").agg(F.min_by(F.struct(*plain, "doc"), order).alias("first")).select("first.*")
+    return _unpacked(once.unionByName(first), docs, *plain)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    # Only the columns of documents go on; a column named like a result keeps its own values.
-    return found.where(found["n_hit"] == 0).select(*docs.columns)
+    found = decontaminate.find_contamination(_packed(docs, "text"), read(spark, sf_dir, "benchmark"), keep=("doc", "text"))
+    return _unpacked(found.where(F.col("n_hit") == 0), docs, "text")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ the rows: the driver holds the texts of that block only, tasks build its tables,
 passes the rows with the spans found so far are written to the checkpoint folder.  No document is
 shuffled.  Per document the state is its own hits only.
 
-Null or empty text has no words.  Items without words match nothing.  Rows are judged one by
+Null or empty text has no words.  Items without words match nothing; items
+without an id mark the words they hit and are named nowhere.  Rows are judged one by
 one, so null ids, ties and repeated rows come back as they are; other columns are not read.
 An empty benchmark hits nothing.
 """
@@ -39,7 +40,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class WuManber:
     """Shift table and suffix buckets for word patterns of one length."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[str | None]]):
         self.length, self.width = length, min(2, length)
         self.far = length - self.width + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
@@ -48,7 +49,7 @@ class WuManber:
             for end in range(self.width, length + 1):
                 block = words[end - self.width:end]
                 self.shift[block] = min(self.shift.get(block, self.far), length - end)
-            self.bucket[words[-self.width:]][words] = sorted(items)
+            self.bucket[words[-self.width:]][words] = sorted(items - {None})
 
     def search(self, words: list[bytes]):
         """Start of each occurrence and the items it belongs to."""
@@ -66,9 +67,9 @@ class WuManber:
             end += 1
 
 
-def matchers(rows: list[tuple[str, bytes]], window: int) -> list[WuManber]:
+def matchers(rows: list[tuple[str | None, bytes]], window: int) -> list[WuManber]:
     """One matcher for each pattern length that occurs."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
     for item, text in rows:
         words = words_of(text)
         length = min(window, len(words))
@@ -92,7 +93,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Block:
     """The items of one block; a worker builds their tables once."""
 
-    def __init__(self, rows: list[tuple[str, bytes]], window: int):
+    def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
         self.rows, self.window = rows, window
         self.built: list[WuManber] | None = None
 
@@ -106,7 +107,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int
     """How many blocks there are, and a function that reads one of them."""
     items = benchmark.select(
         F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("binary").alias("words")
-    ).where("item is not null and words is not null")
+    ).where("words is not null")
     size = items.agg(F.sum(F.length("words"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
     return count, lambda block: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == block).collect()]

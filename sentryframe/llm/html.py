@@ -2,9 +2,11 @@
 
 The html is read into a tree of elements.  Furniture is cut off first: navigation, header,
 footer, aside, form, script and style elements, and elements whose role, class or id names a
-menu, sidebar, notice, advert, comment or the like.  A class or id alone does not cut an element
+menu, sidebar, notice, advert, comment or the like.  A class or id alone, or being a form, does not cut an element
 that holds an article or main (not half links); on a page without those, none that holds three quarters of
-the paragraphs' points; nor do words after has-, with-, no- and the like.  Every paragraph then passes points to its
+the paragraphs' points; nor do words after has-, with-, no- and the like.  A mark that is also a word of other things
+(market-share, header-image) cuts beside words of places only, else an element that is half links.
+A header inside an article or main gives its headings.  Every paragraph then passes points to its
 ancestors: one, one for each comma and up to three for length, all to the parent, half to the
 grandparent, a third and less to the three above; an element's points are discounted by its link density.
 A best container inside an article or main element is lifted to that element, and on to what
@@ -42,8 +44,8 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr", "legend"}
 FURNITURE = frozenset(
-    "head nav header footer aside form script style noscript template button select textarea iframe object svg canvas "
-    "audio video dialog menu title datalist input label fieldset".split()
+    "head nav header footer aside script style noscript template button select textarea iframe object svg canvas "
+    "audio video dialog menu title datalist input fieldset".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that mark furniture.
@@ -54,6 +56,17 @@ MARKS = frozenset(
     "login share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget disclaimer "
     "copyright skip".split()
 )
+#: Marks that are also words of other things: market-share, social-science, header-image.
+AMBIGUOUS = frozenset(
+    "banner header menu share sharing social related notice notices notification alert overlay toolbar widget disclaimer copyright "
+    "reply replies respond consent navigation promotion skip".split()
+)
+#: Words that leave a mark its meaning: site-header, share-buttons, notice-bar.
+PLACES = frozenset(
+    "site page post posts article articles entry stories content main top bottom left right inner outer wrapper wrap container box "
+    "block bar panel section area list item items link links row col column group global primary secondary mobile desktop sticky "
+    "fixed icon icons button buttons btn btns this on us policy message".split()
+)
 #: Words of a name after which it speaks of other elements.
 OTHERS = frozenset("has have with without no not non hide".split())
 #: Whole names that make even an article element furniture.
@@ -61,9 +74,10 @@ OWN_MARKS = {"comment", "comments", "reply", "ad", "advert", "advertisement", "p
 #: Points that a container has by its element alone.
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "ul": -3.0, "ol": -3.0, "body": -1.0}
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are parts of a line.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt "
+    "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt "
     "u var wbr".split()
 )
 #: Beside the best container, what has this share of its text in links is left out.
@@ -74,16 +88,16 @@ MOST = 0.75
 #: What a paragraph passes to its parent and the ancestors above it.
 SHARES = (1.0, 0.5, 1 / 3, 1 / 6, 1 / 9)
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>?", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Element:
-    __slots__ = ("bad", "children", "commas", "link_chars", "marked", "parent", "points", "tag", "text_chars")
+    __slots__ = ("bad", "children", "commas", "doubtful", "link_chars", "marked", "parent", "points", "tag", "text_chars")
 
-    def __init__(self, tag: str, parent: Element | None, bad: bool, marked: bool = False):
-        self.tag, self.parent, self.bad, self.marked = tag, parent, bad, marked
+    def __init__(self, tag: str, parent: Element | None, bad: bool, marked: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.bad, self.marked, self.doubtful = tag, parent, bad, marked, doubtful
         self.children: list[Element | str] = []
         self.points, self.text_chars, self.link_chars, self.commas = 0.0, 0, 0, 0
 
@@ -107,24 +121,40 @@ def _is_furniture(tag: str, attributes: str) -> bool:
     return False
 
 
-def _is_marked(tag: str, attributes: str) -> bool:
-    """Whether a class or id names furniture; what comes after has-, with-, no- and the like is not the element itself."""
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a class or id names furniture, and whether one only might: an ambiguous mark beside other words.
+
+    What comes after has-, with-, no- and the like is not the element itself.
+    """
+    doubtful = False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for m in ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id"):
             for name in (m[2] or m[3] or m[4] or "").split():
-                for word in map(str.lower, NAME.findall(name)):
-                    if word in OTHERS:
-                        break
-                    if word in MARKS:
-                        return True
-    return False
+                words = [w.lower() for w in NAME.findall(name)]
+                words = words[:next((i for i, w in enumerate(words) if w in OTHERS), len(words))]
+                marks = [w for w in words if w in MARKS]
+                plain = all(w in MARKS or w in PLACES or w.isdigit() for w in words)
+                if marks and (plain or any(w not in AMBIGUOUS for w in marks)):
+                    return True, False
+                doubtful = doubtful or bool(marks)
+    return False, doubtful
+
+
+def _inside(e: Element | None, *tags: str) -> bool:
+    while e is not None and e.tag not in tags:
+        e = e.parent
+    return e is not None
 
 
 def parse(html: str) -> Element:
-    """The page as a tree; furniture is ``bad`` with all that it holds, unless its name alone says so."""
+    """The page as a tree; furniture is ``bad`` with all that it holds, unless it is a form or its name alone says so.
+
+    A header in an article or main is read for its headings, a label is furniture in a form only.
+    """
     root = here = Element("#root", None, False)
+    headers: list[Element] = []
     at, n = 0, len(html)
     while at < n:
         m = TAG.search(html, at)
@@ -143,7 +173,13 @@ def parse(html: str) -> Element:
             here = _close(here, tag)
             continue
         here = _make_room(here, tag)
-        element = Element(tag, here, here.bad or _is_furniture(tag, m[3]), _is_marked(tag, m[3]))
+        named, doubtful = _marks(tag, m[3])
+        element = Element(tag, here, here.bad or _is_furniture(tag, m[3]), named or tag == "form", doubtful)
+        if tag == "header" and not here.bad and _inside(here, "article", "main"):
+            element.bad = _is_furniture("div", m[3])
+            headers.append(element)
+        elif tag == "label" and _inside(here, "form"):
+            element.bad = True
         here.children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -152,6 +188,11 @@ def parse(html: str) -> Element:
             here = element
         elif tag not in VOID and tag in BLOCK:
             here = element  # a slash does not close an html element
+    for header in headers:
+        header.children = [e for e in _walk(header) if e.tag in HEADINGS]
+        header.marked = header.doubtful = False
+        for e in header.children:
+            e.parent, e.marked, e.doubtful = header, False, False
     return root
 
 
@@ -232,9 +273,10 @@ def _points(e: Element) -> float:
 
 
 def _cut_marked(root: Element) -> None:
-    """Cut the elements with a furniture name, but not the one around the page's articles or, without any, three quarters of its points."""
+    """Cut forms and elements with a furniture name, but not the one around the page's articles or, without any, three quarters
+    of its points; those with a doubtful name only if half of their text is links."""
     order = _measure(root)
-    if not any(e.marked for e in order):
+    if not any(e.marked or e.doubtful for e in order):
         return
     points: dict[int, float] = {}
     articles: dict[int, int] = {}
@@ -244,7 +286,8 @@ def _cut_marked(root: Element) -> None:
         itself = e.tag in ("article", "main") and e.link_chars < LINKED * e.text_chars
         articles[id(e)] = itself + sum(articles[id(c)] for c in inner)
     for e in order:
-        if e.marked and not (articles[id(e)] if articles[id(root)] else points[id(e)] > MOST * points[id(root)]):
+        cut = e.marked or (e.doubtful and e.link_chars >= LINKED * e.text_chars)
+        if cut and not (articles[id(e)] if articles[id(root)] else points[id(e)] > MOST * points[id(root)]):
             e.bad = True
 
 

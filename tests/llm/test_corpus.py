@@ -219,6 +219,28 @@ def test_html_names_do_not_cut_the_article():
     assert html.extract_text(f"<body><article>{text}</article>{talk}</body>") == "Head\n\none, two, three\n\nfour"
 
 
+def test_html_forms_headers_labels_and_quotes():
+    text, want = "<h1>Head</h1><p>one, two, three</p><p>four</p>", "Head\n\none, two, three\n\nfour"
+    sign = "<form><p>Sign up, now, please</p><label>Mail</label><input></form>"
+    assert html.extract_text(f"<body><form id=aspnetForm><div><nav>menu</nav>{text}</div></form></body>") == want
+    assert html.extract_text(f"<body><form id=aspnetForm><article>{text}{sign}</article></form></body>") == want
+    assert html.extract_text(f"<body><div>{text}{sign}</div></body>") == want
+    assert html.extract_text("<article><header><h1>Big <b>news</b></h1><p>by, me</p></header><p>one, two</article>") == "Big news\n\none, two"
+    assert html.extract_text("<body><header><h1>Site</h1></header><article><header hidden><h1>x</h1></header><p>one, two</article>") == "one, two"
+    assert html.extract_text("<article><p>one <label>word</label> two</article>") == "one word two"
+    page = "<p title=don't>One, two.</p><p>It's fine, more.</p><p title = 'a > b'>Third's text.</p>"
+    assert html.extract_text(page) == "One, two.\n\nIt's fine, more.\n\nThird's text."
+
+
+def test_html_doubtful_names():
+    page = "<article><p>a, b</p><div class={}><p>some, text {}</p></div></article>".format
+    for name in ("market-share", "social-science", "header-image", "media-widget"):
+        assert html.extract_text(page(name, "")) == "a, b\n\nsome, text"
+        assert html.extract_text(page(name, "<a href=/x>and a long link</a>")) == "a, b"
+    for name in ("site-header", "share-buttons", "notice-bar", "ad-leaderboard", "comment-thread", "widget", "widget-2"):
+        assert html.extract_text(page(name, "")) == "a, b"
+
+
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
@@ -271,6 +293,28 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).where("doc_id in (60, 61)").count() == 0
 
 
+def test_pipeline_stages_take_awkward_rows(spark, tmp_path):
+    """Clashing columns keep their values, repeated rows go once, null ids and empty tables pass."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "no such words"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = clashing(awkward(spark)).withColumns({"gone": F.lit("own"), "n_hit": F.lit("own"), "doc": F.lit("own"), "n_removed": F.lit("own")})
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, rows, str(tmp_path))
+            assert got.columns == docs.columns, name
+            assert got.where("gone <> 'own' or n_hit <> 'own' or doc <> 'own' or n_removed <> 'own' or score <> 'clash'").count() == 0
+            if rows is not docs:
+                assert got.count() == 0
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    ids = [r["doc_id"] for r in left]
+    assert sorted(i for i in ids if i is not None) == [i for i in range(11) if i != 6] and ids.count(None) == 1
+    text = prose(5, 40)
+    same = documents(spark, [text, prose(6, 40), text]).unionByName(documents(spark, [text, prose(7, 40)])).unionByName(documents(spark, [text]))
+    left = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, same, str(tmp_path)).collect())
+    assert left == [(0, text), (1, min(prose(6, 40), prose(7, 40)))]
+
+
 def test_queries_have_the_contracted_columns(spark):
     from sentryframe.llm.queries import QUERIES
 
