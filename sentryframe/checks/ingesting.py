@@ -11,8 +11,9 @@ from .. import vocab as V
 from ..functions import cloudtrail as N
 from ..functions import control, identity
 from ..functions import time as tm
+from ..operators.lineage_cut import shared_folder
 from ..plans import evaluate
-from ..sources import cloudtrail, defender, files, k8s, normalise, windows
+from ..sources import canonical, cloudtrail, defender, files, k8s, normalise, windows
 from . import projection as P
 from .registry import query, us
 
@@ -370,6 +371,86 @@ def s16(spark, sf):
     return reduce(DataFrame.unionByName, [one(df, name) for name, df in merged.tables().items()])
 
 
+_DETAILS = {
+    "process": ("command_line", "process_id", "parent_process_name"), "network": ("remote_ip", "remote_port", "process_name"),
+    "logon": ("action", "source_ip", "logon_type"), "control": ("verb", "resource_type", "decision"),
+}
+_STORED = P.with_tables("logon", "control", "network", "process") + " " + " UNION ALL ".join(
+    f"""SELECT event_id, '{t}' AS "table", us AS "timestamp", device, concat_ws('|', {", ".join(f"{c}::VARCHAR" for c in cs)}) AS detail FROM {t}""" for t, cs in _DETAILS.items())
+
+
+def _stored(tel):
+    return reduce(DataFrame.unionByName, [df.select(
+        "event_id", F.lit(name).alias("table"), us("timestamp"), "device",
+        F.concat_ws("|", *(F.col(c).cast("string") for c in _DETAILS[name])).alias("detail")) for name, df in tel.tables().items()])
+
+
+@query("s01_s02_csv_round_trip", _STORED)
+def s01(spark, sf):
+    """All tables, written as CSV and read again."""
+    folder = shared_folder(spark, "canonical-csv")
+    canonical.write_canonical(P.telemetry(spark, sf), folder, "csv")
+    return _stored(canonical.read_canonical(spark, folder, "csv"))
+
+
+@query("s09_stored_parquet", _STORED)
+def s09(spark, sf):
+    """All tables, written without columns of today's layout and widened when they are read again."""
+    folder = shared_folder(spark, "canonical-parquet")
+    older = P.telemetry(spark, sf).map(lambda _, df: df.drop("sha256", "signer", "remote_url", "failure_reason", "role_ref"))
+    canonical.write_canonical(older, folder)
+    return _stored(canonical.read_canonical_parquet(spark, folder)[0])
+
+
+@query("s15_verdict_log", _EV + """,
+  v AS (SELECT 'F' || user_id AS finding_id, CASE k % 3 WHEN 0 THEN 'true_positive' WHEN 1 THEN 'false_positive' ELSE 'benign_true_positive' END AS verdict, us, n FROM ev)
+  SELECT finding_id, arg_max(verdict, (us, n)) AS verdict, arg_max(n, (us, n))::VARCHAR AS note, count(*) AS records FROM v GROUP BY 1""")
+def s15(spark, sf):
+    """A verdict for every event, appended in two goes with broken lines between; the newest of each finding."""
+    ev = P.events(spark, sf)
+    text = lambda c: c.cast("string")
+    verdicts = ev.select(
+        F.concat(F.lit("F"), text(F.col("user_id"))).alias("finding_id"), F.lit("R").alias("rule_id"),
+        F.when(F.col("k") % 3 == 0, "true_positive").when(F.col("k") % 3 == 1, "false_positive").otherwise("benign_true_positive").alias("verdict"),
+        F.lit("a").alias("analyst"), text(F.col("event_id")).alias("note"), F.lit("needs_review").alias("system_disposition"),
+        F.concat(_stamp(), F.lit("#"), F.lpad(text(F.col("event_id")), 19, "0")).alias("recorded_at"), "event_type")
+    log = shared_folder(spark, "verdicts")
+    evaluate.append_verdicts(verdicts.where("event_type <> 'purchase'").drop("event_type"), log)
+    ev.where("k % 10 = 0").select(F.concat(F.lit('{"finding_id": "F'), text(F.col("user_id"))).alias("value")).write.mode("append").text(log)
+    evaluate.append_verdicts(verdicts.where("event_type = 'purchase'").drop("event_type"), log)
+    read = evaluate.read_verdicts(spark, log)
+    counts = read.groupBy("finding_id").agg(F.count(F.lit(1)).alias("records"))
+    return evaluate.latest_verdict(read).join(counts, "finding_id").select("finding_id", "verdict", "note", "records")
+
+
+@query("n06_normalise_full", P.with_tables("logon") + f""",
+  r AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'unparseable timestamp' WHEN k % 19 = 0 THEN 'timestamp before 2000' WHEN us > {LOAD_US} + 86400000000 THEN 'timestamp in the future' END AS reason FROM logon JOIN (SELECT n, k FROM ev) ON event_id = 'l' || n)
+  SELECT source_ref, coalesce(reason, 'kept') AS outcome, CASE WHEN reason IS NULL THEN us END AS "timestamp", CASE WHEN reason IS NULL THEN 3 END AS logon_type, CASE WHEN reason IS NULL THEN '' END AS failure_reason FROM r""")
+def n06(spark, sf):
+    """Logon rows as text, some with impossible instants, through the whole funnel."""
+    ev = P.events(spark, sf).select(F.concat(F.lit("l"), F.col("event_id").cast("string")).alias("event_id"), "k")
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rows = P.telemetry(spark, sf).logons.join(ev, "event_id").withColumns({
+        "timestamp": F.when(F.col("k") % 17 == 0, "yesterday").when(F.col("k") % 19 == 0, "1999-12-31T23:59:59Z").otherwise(stamp),
+        "logon_type": F.lit("3.0"), "failure_reason": F.lit(None).cast("string")})
+    found = normalise.normalise_full(rows, V.LOGON, LOAD)
+    nothing = F.lit(None)
+    return found.rows.select("source_ref", F.lit("kept").alias("outcome"), us("timestamp"), "logon_type", "failure_reason").unionByName(
+        found.issues.select("source_ref", F.col("reason").alias("outcome"), nothing.cast("long").alias("timestamp"),
+                            nothing.cast("long").alias("logon_type"), nothing.cast("string").alias("failure_reason")))
+
+
+@query("n11_messages_without_code", _CT + f"""
+  SELECT 'eventID=e' || n || ';File=f' || (n % 5) || '.json' AS source_ref, CASE WHEN code = '' AND k % 4 = 1 THEN 'failed' ELSE decision END AS decision
+  FROM full_rows WHERE us <= {LOAD_US} + 86400000000""")
+def n11(spark, sf):
+    """Records with an error message, with and without an error code."""
+    said = F.get_json_object("line", "$.eventID").substr(2, 20).cast("long").alias("event_id")
+    lines = _cloudtrail_lines(spark, sf).withColumn("event_id", said).join(P.events(spark, sf).select("event_id", "k"), "event_id")
+    line = F.when(F.col("k") % 4 == 1, F.regexp_replace("line", r"^\{", '{"errorMessage":"refused",')).otherwise(F.col("line"))
+    return cloudtrail._ingest(lines.select("file", "block", "seq", line.alias("line")), LOAD).tables.controls.select("source_ref", "decision")
+
+
 @query("s17_split_by_delivery", _EV + """
   SELECT CASE WHEN k % 9 = 0 THEN 'unreadable' WHEN us // 60000000 * 60000000 < 1704067200000000 + 864000000000 THEN 'dev' ELSE 'holdout' END AS part, count(*) AS n FROM ev GROUP BY 1""")
 def s17(spark, sf):
