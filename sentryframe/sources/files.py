@@ -1,8 +1,9 @@
 """Text files as records: reading, sniffing and admitting them.
 
 Lines are read with their file name, so a large line-delimited file splits over many tasks.
-A file that opens and closes with a lone bracket may be one document spread over lines; only
-such files are put together, and only if the whole then parses.  Typed records are written to
+A file that opens and closes with a lone bracket may be one document spread over lines; its
+records are cut out where they are (``scan``), and only a document without a list of records is
+put together, and only if the whole then parses.  Typed records are written to
 one staging table, which admissions, tables and issues all read.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage_cut import cut
 from ..schemas import Telemetry
+from .scan import list_documents
 
 # The functions travel with the task: executors need no copy of this package.
 register_pickle_by_value(sys.modules[__name__])
@@ -162,19 +164,27 @@ def _pieces(lines: DataFrame) -> DataFrame:
     return ends.where("NOT first.closed AND NOT last.closed AND n > 1 AND 2 * closed <= n").select("file")
 
 
-def documents(lines: DataFrame) -> DataFrame:
+def documents(lines: DataFrame, key: str) -> DataFrame:
     """Lines as units that parse: ``file, line, value`` (a VARIANT, null where the text is not JSON).
 
-    A file spread over lines is put together, and kept so if it parses; any other file is one
-    unit per line.  Lines of ordinary files are not shuffled, and each unit is parsed once.
+    A file spread over lines that lists records in its field ``key`` gives one unit per record,
+    the document with that record alone in the list; another one is put together, and kept so
+    if it parses (one record, as a rule); any other file is one unit per line.  Lines of ordinary
+    files are not shuffled, and each unit is parsed once.
     """
     parse = lambda df: df.select("file", "line", F.inline(F.array(F.struct(F.try_parse_json("line").alias("value")))))
-    likely = lines.join(_pieces(lines), "file", "left_semi").groupBy("file").agg(
+    pieces = cut(_pieces(lines))
+    if pieces.isEmpty():
+        return parse(lines)
+    likely = lines.join(pieces, "file", "left_semi")
+    listed, single = list_documents(likely, key)
+    joined = likely.join(single, "file", "left_semi").groupBy("file").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("block", "seq", "line"))), lambda s: s["line"]), "\n").alias("line"))
-    whole = cut(parse(likely).where("value IS NOT NULL"))
-    by_line = parse(lines.join(whole.select("file"), "file", "left_anti"))
-    return by_line.unionByName(whole)
+    whole = cut(parse(joined).where("value IS NOT NULL"))
+    settled = whole.select("file").unionByName(listed.select("file").distinct())
+    by_line = parse(lines.join(settled, "file", "left_anti"))
+    return by_line.unionByName(whole).unionByName(listed)
 
 
 def number_copies(rows: DataFrame, text: Column) -> DataFrame:

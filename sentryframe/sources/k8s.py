@@ -35,7 +35,7 @@ def raw_events(lines: DataFrame) -> DataFrame:
     """
     listed = F.when(F.try_variant_get("value", "$.kind", "string").endswith("List") | F.try_variant_get("value", "$.auditID", "string").isNull(),
                     F.try_variant_get("value", "$.items", "array<variant>"))
-    units = documents(lines).select("file", "line", "value", F.inline(F.array(F.struct(listed.alias("_items")))))
+    units = documents(lines, "items").select("file", "line", "value", F.inline(F.array(F.struct(listed.alias("_items")))))
     is_list = F.col("_items").isNotNull()
     shape = F.when(is_list, "a top-level 'items' array").when(F.col("value").isNotNull(), "one JSON Event per line")
     records = F.when(is_list, F.transform("_items", lambda i: F.to_json(i))).otherwise(F.array("line"))
