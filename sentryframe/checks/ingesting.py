@@ -83,15 +83,44 @@ _CT = _EV + f""", ct AS (SELECT *, {P._case([c[0].removesuffix('.amazonaws.com')
     CASE WHEN moves THEN pp ELSE '' END AS role_ref FROM rows)"""
 
 
+# The fields of the records above.
+_SHAPE = ('{"eventVersion": "", "eventTime": "", "eventSource": "", "eventName": "", "awsRegion": "", "sourceIPAddress": "", '
+          '"userIdentity": {"userName": ""}, "requestParameters": {"userName": "", "policyArn": "", "count": 1}, '
+          '"responseElements": {"ConsoleLogin": ""}, "errorCode": "", "eventID": "", "recipientAccountId": ""}')
+
+
 def _cloudtrail(spark, sf):
     return cloudtrail._ingest(_cloudtrail_lines(spark, sf), LOAD)
 
 
-@query("s03_n13_cloudtrail_controls", _CT + f"""
+_CONTROLS = _CT + f"""
   SELECT 'eventID=e' || n || ';File=f' || (n % 5) || '.json' AS source_ref, us AS "timestamp", actor, verb, resource_type, target_actor, role_ref, decision,
-    CASE WHEN pu <> '' THEN pu WHEN target_actor <> '' THEN target_actor ELSE role_ref END AS resource_name FROM full_rows WHERE us <= {LOAD_US} + 86400000000""")
+    CASE WHEN pu <> '' THEN pu WHEN target_actor <> '' THEN target_actor ELSE role_ref END AS resource_name FROM full_rows WHERE us <= {LOAD_US} + 86400000000"""
+
+
+@query("s03_n13_cloudtrail_controls", _CONTROLS)
 def s03(spark, sf):
-    out = _cloudtrail(spark, sf).tables.controls
+    return _control_rows(_cloudtrail(spark, sf))
+
+
+@query("s03_spread_documents", _CONTROLS)
+def s03_spread(spark, sf):
+    """The same records as five documents, each printed over many lines in splits of a thousand records."""
+    lines = _cloudtrail_lines(spark, sf)
+    pretty = F.split(F.to_json(F.from_json("line", F.schema_of_json(_SHAPE)), {"pretty": "true"}), "\n")
+    first = lines.groupBy("file").agg(F.min("seq").alias("first"))
+    parts = lines.join(first, "file").select(
+        "file", "seq", F.posexplode(F.concat(
+            F.when(F.col("seq") == F.col("first"), F.array(F.lit('{"Records" : ['))).otherwise(F.array(F.lit(","))), pretty)).alias("at", "line"))
+    ends = first.select("file", F.lit(2**40).alias("seq"), F.lit(0).alias("at"), F.lit("]}").alias("line"))
+    spread = parts.unionByName(ends).select(
+        "file", F.floor(F.col("seq") / 1000).cast("long").alias("block"), (F.col("seq") * 1000 + F.col("at")).alias("seq"),
+        F.trim("line").alias("line")).where("line <> ''")
+    return _control_rows(cloudtrail._ingest(spread, LOAD))
+
+
+def _control_rows(ingest):
+    out = ingest.tables.controls
     return out.select("source_ref", us("timestamp"), "actor", "verb", "resource_type", "target_actor", "role_ref", "decision", "resource_name")
 
 
