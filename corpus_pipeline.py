@@ -56,11 +56,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut(minhash.components(docs))
     known = found.where("doc_id is not null and n_shingles > 0")
     gone = known.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
-    again = known.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    again = cut(known.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     worded = F.translate(F.coalesce("text", F.lit("")), linededup.BLANK, "") != ""
     rows = _packed(docs, *plain).withColumn("key", F.when(worded, F.col("doc_id").cast("long")))
     left = rows.join(gone, F.col("key") == F.col("id"), "left_anti")
-    # Only rows of an id that several rows share are shuffled with their texts.
+    if again.isEmpty():
+        return _unpacked(left, docs, *plain)
+    # Only where several rows share an id do the texts take a second shuffle, to find the first row of each.
     once = left.join(again, F.col("key") == F.col("id"), "left_anti").select(*plain, "doc")
     several = left.join(again, F.col("key") == F.col("id"), "left_semi")
     order = F.struct("text", F.to_json("doc"))
