@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sentryframe.sources import cloudtrail
+from sentryframe.sources import cloudtrail, files, scan
 from sentryframe.sources.files import documents, read_lines
 
 from .test_ingest_edges import LOAD, record
@@ -107,3 +107,33 @@ def test_a_document_beyond_the_size_of_a_value(spark, tmp_path):
         assert [(r.admitted, r.records, r["shape"]) for r in got.admissions.collect()] == [(True, 20_000, "a top-level 'Records' array")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_lines_are_not_shuffled_by_their_few_files(spark, tmp_path, monkeypatch):
+    """Which files are documents is known in every task, whatever the sizes; many files are joined as before, with the same rows."""
+    (tmp_path / "a.json").write_text(json.dumps({"Records": [{"a": 1}, {"a": 2}]}, indent=1))
+    (tmp_path / "b.json").write_text('{"c": 3}\n{"d": 4}')
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for few in (100, 0):
+            monkeypatch.setattr(files, "FEW_FILES", few)
+            found = documents(read_lines(spark, str(tmp_path), "*.json"), "Records")
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert ("strategy=broadcast" in plan) == bool(few)
+            assert sorted(texts_of(found)) == ['{"Records":[{"a":1}]}', '{"Records":[{"a":2}]}', '{"c":3}', '{"d":4}']
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def texts_of(found):
+    return [r.v for r in found.select(F.to_json("value").alias("v")).collect()]
+
+
+def test_lines_without_brackets_are_tokens_as_they_are(spark):
+    lines = ['"a": "b\\\\",', "{", '"x": "q\\"[",', '"Records": [', "\x01", "1, 2", "[{},{}]"]
+    df = spark.createDataFrame([("f", 0, i, x) for i, x in enumerate(lines)], "file string, block long, seq long, line string")
+    got = sorted((r.seq, r["sub"], r.text, r.opened, r.opens_list, r.brace, r.strange) for r in scan.tokens(df, "Records").collect())
+    assert got[:6] == [
+        (0, 0, lines[0], 0, False, False, False), (1, 0, "{", 1, False, True, False), (2, 0, lines[2], 0, False, False, False),
+        (3, 0, lines[3], 1, True, False, False), (4, 0, "\x01", 0, False, False, True), (5, 0, "1, 2", 0, False, False, False)]
+    assert "".join(x[2] for x in got[6:]) == lines[6] and sum(x[3] for x in got) == 2
